@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +25,7 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -44,3 +47,17 @@ def durable(df: DataFrame) -> DataFrame:
             context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="segloom-checkpoint-")
         )
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to the Python workers of this application, wherever they run; once per context."""
+    context = spark.sparkContext
+    if context.getLocalProperty("segloom.shipped"):
+        return
+    home = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="segloom-")) / "segloom.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(home.rglob("*.py")):
+            z.write(p, p.relative_to(home.parent))
+    context.addPyFile(str(archive))
+    context.setLocalProperty("segloom.shipped", "yes")
