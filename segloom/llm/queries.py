@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segloom.llm import runs
-from segloom.operators import coverage
-from segloom.session import table
+from segloom.llm import lookalike, overlap, runs
+from segloom.session import durable, table
 
 #: A vocabulary is a fixed list; more entries than this are taken for a mistake.
 MOST_LABELS = 10_000
@@ -52,5 +51,48 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return p3_runs(spark, folder).filter("events > 1").select("video_id", "first_segment_id", "last_segment_id")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_runs)}
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return lookalike.alike(durable(lookalike.classes(table(spark, folder, "documents"))))
+
+
+def p9_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the class of texts that look like its own, and the number of spellings in the class."""
+    keys = lookalike.classes(table(spark, folder, "documents"))
+    size = keys.groupBy("form").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("documents"), F.countDistinct("spelling").alias("spellings"))
+    return keys.join(size, "form").select("doc_id", "class_id", "documents", "spellings")
+
+
+def p9_forms(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text in its consistent form."""
+    return lookalike.consistent(table(spark, folder, "documents"))
+
+
+def _evaluation(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    return table(spark, folder, "test"), table(spark, folder, "manifest").filter(F.col("split_name").isin("dev", "study"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    train = table(spark, folder, "train")
+    test, manifest = _evaluation(spark, folder)
+    names = overlap.clip_keys(test, "video").unionByName(overlap.clip_keys(manifest, "video_id"))
+    named = overlap.same_name(durable(overlap.clip_keys(train, "video")), durable(names))
+    alike = overlap.same_content(durable(overlap.contents(train)), durable(overlap.contents(test)))
+    return named.unionByName(alike).distinct()
+
+
+def p2_overlaps(spark: SparkSession, folder: str) -> DataFrame:
+    """Per split and source: evaluation records, those that training has too, and the pairs."""
+    test, manifest = _evaluation(spark, folder)
+    rows = (
+        test.select("row_id", F.lit("test").alias("split"), "source")
+        .unionByName(manifest.select("row_id", F.col("split_name").alias("split"), "source"))
+        .dropDuplicates(["row_id"])
+    )
+    hits = p2_found(spark, folder).groupBy(F.col("eval_row_id").alias("row_id")).agg(F.count("*").alias("n"))
+    return rows.join(hits, "row_id", "left").groupBy("split", "source").agg(
+        F.count("*").alias("records"), F.count("n").alias("overlapping"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs")
+    )
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_overlaps, p3_found, p3_runs, p9_found, p9_classes, p9_forms)}
 ORACLE: dict[str, str] = {}
