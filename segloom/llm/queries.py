@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segloom.llm import lookalike, overlap, runs
+from segloom.llm import lookalike, mixing, overlap, packing, pairs, runs, tokens, truncation
 from segloom.session import durable, table
 
 #: A vocabulary is a fixed list; more entries than this are taken for a mistake.
@@ -94,5 +94,94 @@ def p2_overlaps(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_overlaps, p3_found, p3_runs, p9_found, p9_classes, p9_forms)}
+def _answers(spark: SparkSession, folder: str) -> DataFrame:
+    outputs = table(spark, folder, "outputs").select(
+        F.lit("outputs").alias("record_table"),
+        F.col("output_id").alias("record_id"),
+        F.lit(0).cast("long").alias("turn_no"),
+        F.col("prompt").alias("question"),
+        F.col("raw_output").alias("answer"),
+    )
+    return pairs.conversation_pairs(table(spark, folder, "train"), "train").unionByName(outputs)
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return pairs.broken(_answers(spark, folder))
+
+
+def p1_templates(spark: SparkSession, folder: str) -> DataFrame:
+    """Openings that recur across unrelated questions or decline, with their clusters."""
+    found = pairs.templates(pairs.openings(durable(pairs.judged(_answers(spark, folder)))))
+    return found.filter((F.col("questions") >= pairs.UNRELATED) | (F.col("declining") > 0))
+
+
+def _readings(spark: SparkSession, folder: str) -> DataFrame:
+    return durable(
+        truncation.readings(
+            table(spark, folder, "outputs").select(
+                F.col("output_id").alias("id"), "source", F.col("finish_reason").isin("length", "abort", "error").alias("stopped"), F.col("raw_output").alias("text")
+            )
+        )
+    )
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return truncation.cut(_readings(spark, folder)).select(F.col("id").alias("output_id"))
+
+
+def p4_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Per source the texts, the cut ones, those cut at a limit, and the share of cut ones."""
+    read = _readings(spark, folder)
+    rows = read.select("id", "source").join(truncation.cut(read).select("id", "at_limit"), "id", "left")
+    return rows.groupBy("source").agg(
+        F.count("*").alias("texts"),
+        F.count("at_limit").alias("cut"),
+        F.count_if("at_limit").alias("cut_at_limit"),
+        (F.count("at_limit") / F.count("*")).alias("share"),
+    )
+
+
+def p4_limits(spark: SparkSession, folder: str) -> DataFrame:
+    """The hidden limits of each source, by the way of counting that exposes them."""
+    return truncation.limits(_readings(spark, folder)).drop("v")
+
+
+def _sizes(spark: SparkSession, folder: str) -> DataFrame:
+    return durable(tokens.sizes(table(spark, folder, "documents"), tokens.ranks_path(spark)))
+
+
+def _capacities(spark: SparkSession, folder: str) -> dict[str, int]:
+    rows = table(spark, folder, "pack_capacity").limit(1001).collect()
+    if len(rows) > 1000:
+        raise ValueError("pack_capacity has more than 1000 rows")
+    return {r.container_kind: r.capacity_tokens for r in rows}
+
+
+def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's container (or those of its pieces) for each capacity."""
+    return packing.pack(_sizes(spark, folder), _capacities(spark, folder))
+
+
+def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """Per capacity the containers and the share of their room that is used."""
+    return packing.fill(p7_packed(spark, folder), table(spark, folder, "pack_capacity"))
+
+
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The mix in order of training."""
+    return mixing.mix(_sizes(spark, folder), table(spark, folder, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares that the mix really reaches."""
+    return mixing.shares(p8_mix(spark, folder), table(spark, folder, "mix_targets"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_templates, p2_found, p2_overlaps, p3_found, p3_runs, p4_found, p4_shares, p4_limits, p7_packed, p7_fill, p8_mix, p8_shares,
+        p9_found, p9_classes, p9_forms,
+    )
+}
 ORACLE: dict[str, str] = {}
