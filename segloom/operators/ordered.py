@@ -1,16 +1,119 @@
 """Passes over a total order that no single task has to hold.
 
 ``in_order`` range-partitions rows by the whole ordering key, so a hot entity is spread over many tasks, and gives each
-task its rows sorted. What may go on across a task's edge is left to the operator, which gets along with a bounded
-number of rows for each task.
+task its rows sorted. ``scan`` makes previous values and running sums on top of it: each task works on its range, and
+what an entity brings over a task's edge (one row a task) is added afterwards. It stands in for a window whose partition
+may hold any share of all rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from segloom.session import partitions
+from segloom.session import durable, partitions
 
 
 def in_order(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartitionByRange(partitions(df.sparkSession), *keys).sortWithinPartitions(*keys)
+
+
+def _shifted(column: pa.Array, before) -> pa.Array:
+    head = pa.array([before], column.type)
+    return pa.concat_arrays([head, column.slice(0, len(column) - 1)])
+
+
+def _pass(entity: str, lags: list[str], sums: list[str], names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        row, first, last, held, totals = 0, None, None, [None] * len(lags), [0] * len(sums)
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            who = batch.column(entity)
+            who = who.combine_chunks() if isinstance(who, pa.ChunkedArray) else who
+            if row == 0:
+                first = who[0].as_py()
+            goes_on = np.array(pc.fill_null(pc.equal(who, _shifted(who, last)), False))
+            if row == 0:
+                goes_on[0] = False
+            out = [batch.column(c) for c in names]
+            for i, c in enumerate(lags):
+                column = batch.column(c)
+                shifted = _shifted(column, held[i])
+                out.append(pc.if_else(pa.array(goes_on), shifted, pa.scalar(None, column.type)))
+                held[i] = column[n - 1].as_py()
+            for i, c in enumerate(sums):
+                x = np.asarray(pc.fill_null(batch.column(c), 0)).astype(np.int64)
+                total = np.cumsum(x)
+                starts = np.flatnonzero(~goes_on)
+                base = np.full(n, totals[i], np.int64)
+                if len(starts):
+                    offsets = np.concatenate(([0], total))[starts]
+                    which = np.searchsorted(starts, np.arange(n), side="right") - 1
+                    base = np.where(which >= 0, -offsets[np.maximum(which, 0)], totals[i])
+                runs = total + base
+                totals[i] = int(runs[-1])
+                out.append(pa.array(runs))
+            lead = pc.fill_null(pc.equal(who, pa.scalar(first, who.type)), False)
+            out += [pa.array(np.full(n, part, np.int32)), pa.array(np.arange(row, row + n)), lead]
+            last, row = who[n - 1].as_py(), row + n
+            yield pa.record_batch(out, [*names, *(f"prev_{c}" for c in lags), *(f"run_{c}" for c in sums), "_part", "_row", "_lead"])
+
+    return run
+
+
+def scan(df: DataFrame, entity: str, keys: list[str], lags: list[str] = [], sums: list[str] = []) -> DataFrame:  # noqa: B006
+    """``df`` with ``prev_<c>`` of the entity's row before (null for its first) and ``run_<c>``, the sum up to the row.
+
+    Rows are ordered by ``keys`` within the entity; keys that tie leave the order among them open. Rows without entity
+    are left out; a null adds nothing to a sum. Sums are of whole numbers.
+    """
+    names = df.columns
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    prev = [T.StructField(f"prev_{c}", kinds[c]) for c in lags]
+    runs = [T.StructField(f"run_{c}", T.LongType()) for c in sums]
+    marks = [T.StructField("_part", T.IntegerType()), T.StructField("_row", T.LongType()), T.StructField("_lead", T.BooleanType())]
+    rows = durable(
+        in_order(df.filter(F.col(entity).isNotNull()), entity, *keys).mapInArrow(
+            _pass(entity, lags, sums, names), T.StructType([*df.schema.fields, *prev, *runs, *marks])
+        )
+    )
+    # One row a task: what stands at its edges.
+    edges = (
+        rows.groupBy("_part")
+        .agg(
+            F.min_by(entity, "_row").alias("first"),
+            F.max_by(F.struct(F.col(entity).alias("entity"), *lags, *(f"run_{c}" for c in sums)), "_row").alias("last"),
+            F.bool_and("_lead").alias("single"),
+        )
+        .collect()
+    )
+    carried, held = [], None
+    for e in sorted(edges, key=lambda e: e["_part"]):
+        same = held is not None and held[0] == e["first"]
+        if same:
+            carried.append((e["_part"], *held[1], *held[2]))
+        ends = [e["last"][f"run_{c}"] for c in sums]
+        if same and e["single"]:
+            ends = [a + b for a, b in zip(ends, held[2])]
+        held = (e["last"]["entity"], [e["last"][c] for c in lags], ends)
+    schema = T.StructType(
+        [T.StructField("_part", T.IntegerType()), *(T.StructField(f"_p_{c}", kinds[c]) for c in lags), *(T.StructField(f"_s_{c}", T.LongType()) for c in sums)]
+    )
+    extra = F.broadcast(df.sparkSession.createDataFrame(carried, schema))
+    at_edge = F.col("_lead") & (F.col("_row") == 0)
+    return rows.join(extra, "_part", "left").select(
+        *names,
+        *(F.when(at_edge, F.col(f"_p_{c}")).otherwise(F.col(f"prev_{c}")).alias(f"prev_{c}") for c in lags),
+        *((F.col(f"run_{c}") + F.when(F.col("_lead"), F.coalesce(f"_s_{c}", F.lit(0))).otherwise(0)).alias(f"run_{c}") for c in sums),
+    )
