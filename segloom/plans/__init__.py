@@ -1,7 +1,7 @@
 """The catalogue of queries and their SQL."""
 
-from segloom.plans import problems
+from segloom.plans import groups, problems, timeline
 
-QUERIES = {**problems.QUERIES}
-ORACLE = {**problems.ORACLE}
-FLAGSHIP = "p5_found"
+QUERIES = {**timeline.QUERIES, **groups.QUERIES, **problems.QUERIES}
+ORACLE = {**timeline.ORACLE, **groups.ORACLE, **problems.ORACLE}
+FLAGSHIP = "seg_positional_eval"

@@ -18,7 +18,7 @@ VOCABULARY = (
     "Awkwardness,Empathic Pain,Fear,Anger,Sadness,Relief,Boredom,Joy,Aesthetic Appreciation,Adoration,Admiration,Amusement,Satisfaction,Disgust,"
     "Sexual Desire,Confusion,Romance,Craving,Horror,Excitement,Nostalgia,Awe (or Wonder),Interest,Calmness,Surprise,Entrancement,Anxiety"
 ).split(",")
-_LIST = "struct<segments:array<struct<start_time:double,end_time:double,emotion:string,reason:string>>>"
+_LIST = "struct<segments:array<struct<start_time:string,end_time:string,emotion:string,reason:string>>>"
 
 
 def six(x):
@@ -75,7 +75,7 @@ def seg_eval_overall(spark: SparkSession, folder: str) -> DataFrame:
     pool = _paired(spark, folder).agg(six(F.avg("iou")).alias("micro_iou"), six(F.avg((F.col("gl").eqNullSafe(F.col("pl"))).cast("double"))).alias("micro_accuracy"))
     rates = by.agg(
         F.count("*").alias("clips"),
-        F.count_if("pred = 0").alias("missing"),
+        F.count_if(F.expr("pred = 0")).alias("missing"),
         six(F.avg(F.when(F.col("pred") > 0, F.col("count_match").cast("double")))).alias("count_match_common"),
         six(F.avg(F.col("count_match").cast("double"))).alias("count_match_all"),
         six(F.avg("mean_iou")).alias("macro_iou"),
@@ -161,7 +161,7 @@ def seg_under_over(spark: SparkSession, folder: str) -> DataFrame:
     """Clips by number of true segments (up to 20), and in all: fewer, as many, or more predicted; as grouping sets."""
     by = seg_eval_per_clip(spark, folder).withColumn("gt_count", F.least("gt", F.lit(20)))
     return by.groupingSets([[F.col("gt_count")], []], "gt_count").agg(
-        F.count("*").alias("clips"), F.count_if("pred < gt").alias("under"), F.count_if("pred = gt").alias("equal"), F.count_if("pred > gt").alias("over")
+        F.count("*").alias("clips"), F.count_if(F.expr("pred < gt")).alias("under"), F.count_if(F.expr("pred = gt")).alias("equal"), F.count_if(F.expr("pred > gt")).alias("over")
     )
 
 
@@ -169,10 +169,10 @@ def seg_sufficient_stats(spark: SparkSession, folder: str) -> DataFrame:
     """Additive counters per clip and the ratios made of their sums."""
     rows = _paired(spark, folder).withColumn("same", F.col("gl").eqNullSafe(F.col("pl"))).withColumn("good", F.col("iou") >= 0.5)
     by = rows.groupBy("entity").agg(
-        F.count("*").alias("pairs"), F.sum("iou").alias("iou_sum"), F.count_if("same").alias("label_correct"), F.count_if("good").alias("qualified"), F.count_if("good and same").alias("joint")
+        F.count("*").alias("pairs"), F.sum("iou").alias("iou_sum"), F.count_if("same").alias("label_correct"), F.count_if("good").alias("qualified"), F.count_if(F.expr("good and same")).alias("joint")
     )
     counts = seg_eval_per_clip(spark, folder).select("entity", "gt", "pred").join(by, "entity", "left").fillna(0)
-    t = counts.agg(*(F.sum(c).alias(c) for c in ("gt", "pred", "pairs", "iou_sum", "label_correct", "qualified", "joint")), F.count("*").alias("clips"), F.count_if("pred > 0").alias("valid"))
+    t = counts.agg(*(F.sum(c).alias(c) for c in ("gt", "pred", "pairs", "iou_sum", "label_correct", "qualified", "joint")), F.count("*").alias("clips"), F.count_if(F.expr("pred > 0")).alias("valid"))
     r = lambda a, b: six(iv.safe_ratio(F.col(a), F.col(b)))
     return t.select(
         "clips", "gt", "pred", "pairs", "qualified", "joint", r("valid", "clips").alias("coverage"), r("iou_sum", "pairs").alias("mean_iou"), r("label_correct", "pairs").alias("label_accuracy"),
@@ -207,7 +207,9 @@ def _lists(spark: SparkSession, folder: str) -> DataFrame:
     c = F.posexplode("conversations").alias("turn_no", "t")
     rows = table(spark, folder, "train").select("row_id", F.coalesce(F.nullif("video_duration", F.lit(0.0)), F.lit(30.0)).alias("duration"), c)
     rows = rows.filter((F.col("t.from") == "gpt") & F.startswith(F.col("t.value"), F.lit('{"segments": [{"start_time"')) & F.endswith(F.col("t.value"), F.lit("]}")))
-    parsed = rows.select("row_id", F.col("turn_no").cast("long").alias("turn_no"), "duration", F.from_json("t.value", _LIST)["segments"].alias("segments"))
+    number = lambda x, c: x[c].try_cast("double").alias(c)  # noqa: E731  (times may be quoted)
+    typed = lambda x: F.struct(number(x, "start_time"), number(x, "end_time"), x["emotion"].alias("emotion"), x["reason"].alias("reason"))
+    parsed = rows.select("row_id", F.col("turn_no").cast("long").alias("turn_no"), "duration", F.transform(F.from_json("t.value", _LIST)["segments"], typed).alias("segments"))
     return parsed.filter("segments is not null").dropDuplicates(["row_id", "turn_no"])
 
 
