@@ -1,7 +1,7 @@
 """The catalogue of queries and their SQL."""
 
-from segloom.plans import groups, problems, timeline
+from segloom.plans import groups, problems, sampling, timeline
 
-QUERIES = {**timeline.QUERIES, **groups.QUERIES, **problems.QUERIES}
-ORACLE = {**timeline.ORACLE, **groups.ORACLE, **problems.ORACLE}
+QUERIES = {**timeline.QUERIES, **groups.QUERIES, **sampling.QUERIES, **problems.QUERIES}
+ORACLE = {**timeline.ORACLE, **groups.ORACLE, **sampling.ORACLE, **problems.ORACLE}
 FLAGSHIP = "seg_positional_eval"
