@@ -1,7 +1,7 @@
 """The catalogue of queries and their SQL."""
 
-from segloom.plans import groups, problems, sampling, timeline
+from segloom.plans import groups, problems, records, sampling, text, timeline
 
-QUERIES = {**timeline.QUERIES, **groups.QUERIES, **sampling.QUERIES, **problems.QUERIES}
-ORACLE = {**timeline.ORACLE, **groups.ORACLE, **sampling.ORACLE, **problems.ORACLE}
+QUERIES = {**timeline.QUERIES, **groups.QUERIES, **sampling.QUERIES, **records.QUERIES, **text.QUERIES, **problems.QUERIES}
+ORACLE = {**timeline.ORACLE, **groups.ORACLE, **sampling.ORACLE, **records.ORACLE, **text.ORACLE, **problems.ORACLE}
 FLAGSHIP = "seg_positional_eval"
