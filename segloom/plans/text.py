@@ -93,7 +93,7 @@ def txt_paths(spark: SparkSession, folder: str) -> DataFrame:
 def txt_quotes(spark: SparkSession, folder: str) -> DataFrame:
     """Whether each document quotes the id of its clip, and its numbers in two notations."""
     rows = table(spark, folder, "documents").filter("video_id is not null")
-    return rows.select("doc_id", F.contains("text", F.col("video_id")).alias("quoted"), F.format_string("%.1f", F.col("n_chars") / 8).alias("plain"), F.translate(F.format_string("%.1f", F.col("n_chars") / 8), ".", ",").alias("comma"))
+    return rows.select("doc_id", F.contains("text", F.col("video_id")).alias("quoted"), F.format_string("%.1f", F.col("n_chars") / 7).alias("plain"), F.translate(F.format_string("%.1f", F.col("n_chars") / 7), ".", ",").alias("comma"))
 
 
 def txt_weights(spark: SparkSession, folder: str) -> DataFrame:
@@ -289,7 +289,7 @@ select output_id, md5(case when json_valid(w) then case when json_type(w::json)
     "txt_tool_calls": """select event_id, event_type as name, json_extract_string(props, '$.k') as a, cast(2 as integer) as calls, json_extract_string(props, '$.k') as b, event_type as keyed, json_extract_string(props, '$.k') as c from events""",
     "txt_paths": """select distinct row_id, regexp_extract(replace(video, chr(92), '/'), '([^/]+?)(\\.[^./]*)?$', 1) as stem, regexp_extract(video, '\\.([^./]*)$', 1) as ending,
   case when starts_with(video, '/data/') then replace(video, '/data/', '/mnt/') else video end as moved from train""",
-    "txt_quotes": "select doc_id, contains(text, video_id) as quoted, printf('%.1f', n_chars / 8) as plain, replace(printf('%.1f', n_chars / 8), '.', ',') as comma from documents where video_id is not null",
+    "txt_quotes": "select doc_id, contains(text, video_id) as quoted, printf('%.1f', n_chars / 7) as plain, replace(printf('%.1f', n_chars / 7), '.', ',') as comma from documents where video_id is not null",
     "txt_weights": """with p as (select doc_id, unnest(string_split(text, chr(10))) as p from documents)
 select doc_id, count(*) as parts, sum(length(p) * case when starts_with(p, '#') then 0.0::double when starts_with(p, '- ') then 0.5::double else 1.0::double end) as weighted from p where p <> '' group by 1""",
     "num_kernels": """with g as (select l_quantity, l_discount, count(*) as n from lineitem group by 1, 2)
