@@ -184,4 +184,39 @@ QUERIES = {
         p9_found, p9_classes, p9_forms,
     )
 }
-ORACLE: dict[str, str] = {}
+_RUNS = """v as (select regexp_replace(lower(emotion), '[^a-z0-9]', '', 'g') as f, canonical_emotion as c from emotion_vocab),
+d as (select distinct emotion, regexp_replace(lower(emotion), '[^a-z0-9]', '', 'g') as f from segments where emotion is not null),
+n as (select emotion, c, case when d.f = v.f then 0 else damerau_levenshtein(d.f, v.f) end as k, case when length(v.f) >= 8 then 2 else 1 end as most from d join v on true),
+b as (select emotion, min(k) as k from n where k <= most group by 1), u as (select emotion, min(c) as c, count(distinct c) as m from n join b using (emotion, k) where k <= most group by 1),
+s as (select distinct segment_id as id, video_id, cast(round(start_time * 1000) as bigint) as s, cast(round(end_time * 1000) as bigint) as e, emotion from segments
+  where video_id is not null and not isnan(start_time) and not isnan(end_time)),
+l as (select s.*, case when u.m = 1 then u.c else s.emotion end as label from s left join u using (emotion) where e > s),
+c as (select *, case when lag(label) over w = label then 0 else 1 end as c from l window w as (partition by video_id order by s, id)),
+g as (select *, sum(c) over (partition by video_id order by s, id rows unbounded preceding) as g from c)"""
+# The consistent form in SQL: invisible characters out, widths, spaces and look-alikes exchanged one by one, accents composed.
+_FROM = "".join(c for forms in lookalike.LOOKALIKES.values() for c in forms) + "".join(map(chr, range(0xFF01, 0xFF5F))) + "\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000\u0451\u0401\u0457\u0407"
+_TO = "".join(t for t, forms in lookalike.LOOKALIKES.items() for _ in forms) + "".join(map(chr, range(0x21, 0x7F))) + " " * 16 + "\u00eb\u00cb\u00ef\u00cf"
+_FORMS = f"""f as (select distinct doc_id, text, nfc_normalize(translate(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)),
+  '[\\x{{00AD}}\\x{{034F}}\\x{{061C}}\\x{{180E}}\\x{{200B}}-\\x{{200F}}\\x{{202A}}-\\x{{202E}}\\x{{2060}}-\\x{{2064}}\\x{{2066}}-\\x{{206F}}\\x{{FE00}}-\\x{{FE0F}}\\x{{FEFF}}]', '', 'g'),
+  '{_FROM.replace("'", "''")}', '{_TO.replace("'", "''")}')) as form from documents where text is not null)"""
+# Endings in SQL: JSON from its first to its last bracket has to be valid; prose has to end in punctuation and without a mark.
+_CUT = """o as (select distinct output_id, source, raw_output as t from outputs where raw_output is not null),
+a as (select *, regexp_replace(t, '^\\s*```[a-zA-Z]*\\s*', '') as b from o),
+k as (select *, length(regexp_replace(t, '[^\\p{L}\\p{N}]', '', 'g')) = 0 or regexp_matches(lower(trim(t)), '^[<\\[(`\\s]*(\\|?[a-z/]*\\|?|none|null|n/a|empty|json|answer|answer></answer)[>\\])`.\\s]*$') as blank,
+  regexp_matches(b, '^\\s*("?[{\\[]|[^\\[{]{0,60}:\\s*[{\\[])') as json from a),
+c as (select output_id, source, case when blank then false
+  when json and ltrim(b)[1] = '"' then not json_valid(rtrim(regexp_replace(b, '\\s*```\\s*$', '')))
+  when json then not json_valid(regexp_extract(b, '(?s)[\\[{].*[\\]}]', 0))
+  else regexp_matches(t, '(\\.\\.\\.|…|[\\[<(](truncated|cut|\\.\\.\\.)[\\])>])\\s*["”»]*\\s*$') or
+    (not regexp_matches(t, '[.!?。！？](\\s|```|["”»)\\]]|<\\|?[a-z]+\\|?>|\\p{So})*$') and regexp_matches(t, '\\S\\s+\\S')) end as cut from k)"""
+ORACLE = {
+    "p4_found": f"with {_CUT} select output_id from c where cut",
+    "p9_found": f"""with {_FORMS} select a.doc_id as doc_id_a, b.doc_id as doc_id_b from f a join f b on a.form = b.form and a.text <> b.text and a.doc_id < b.doc_id""",
+    "p9_forms": f"""with {_FORMS} select doc_id, form from f""",
+    "p9_classes": f"""with {_FORMS}, c as (select form, min(doc_id) as class_id, count(*) as documents, count(distinct text) as spellings from f group by 1) select doc_id, class_id, documents, spellings from f join c using (form)""",
+    "p3_found": f"""with {_RUNS}
+select video_id, first(id order by s, id) as first_segment_id, last(id order by s, id) as last_segment_id from g group by video_id, g having count(*) > 1""",
+    "p3_runs": f"""with {_RUNS}
+select video_id, first(id order by s, id) as first_segment_id, last(id order by s, id) as last_segment_id, count(*) as events, any_value(label) as emotion, min(s) as start_ms, max(e) as end_ms, max(e) - min(s) as duration_ms
+from g group by video_id, g""",
+}
