@@ -42,7 +42,8 @@ def score(df: DataFrame, name: str, columns: list[str], out: str = "score") -> D
 
     def run(frames: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for parts in frames:
-            got = f(*(p.tolist() for p in parts))
+            parts = (parts,) if isinstance(parts, pd.Series) else parts
+            got = f(*(p.astype(object).where(p.notna(), None).tolist() for p in parts))
             if len(got) != len(parts[0]):
                 raise ValueError(f"{name} gave {len(got)} scores for {len(parts[0])} rows")
             yield pd.Series([None if x is None else float(x) for x in got], dtype="float64")

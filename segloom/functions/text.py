@@ -65,10 +65,16 @@ def braces(text: Column) -> Column:
     return F.regexp_extract(text, r"(?s)\{.*\}", 0)
 
 
+def _enclosed(text: Column) -> Column:
+    """The values of a text in an array: the parser lets text after a value pass, but not within brackets."""
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+
+
 def is_object(text: Column) -> Column:
-    """Whether a text is one whole JSON object."""
-    kind = F.schema_of_variant(F.try_parse_json(text))
-    return F.coalesce(F.startswith(kind, F.lit("OBJECT")), F.lit(False))
+    """Whether a text is one whole JSON object with nothing after it."""
+    v = _enclosed(text)
+    one = F.try_variant_get(v, "$[1]", "variant").isNull() & F.startswith(F.schema_of_variant(v), F.lit("ARRAY<OBJECT"))
+    return F.coalesce(one & F.endswith(F.rtrim(text, F.lit(" \n\r\t")), F.lit("}")), F.lit(False))
 
 
 def json_object(text: Column) -> Column:
@@ -78,7 +84,7 @@ def json_object(text: Column) -> Column:
     """
     t = without_fence(text)
     cut = braces(t)
-    return F.when(is_object(t), t).when(F.try_parse_json(t).isNull() & is_object(cut), cut)
+    return F.when(is_object(t), t).when(_enclosed(t).isNull() & is_object(cut), cut)
 
 
 def tagged(text: Column, tag: str) -> Column:
