@@ -64,6 +64,8 @@ class Transducer:
                 self.char[c] = " "
             elif 0xFF00 <= code <= 0xFFEF:
                 self.char[c] = unicodedata.normalize("NFKC", c)
+                if unicodedata.combining(self.char[c][:1]):  # voiced sound marks of half width
+                    marks.append(code)
         for c in range(0xE0000, 0xE01F0):  # tags and variation selectors
             self.char[chr(c)] = ""
             marks.append(c)
