@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 Z95 = 1.959963984540054
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, also where the body uses it within a function of elements."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def softmax(logits: Column) -> Column:
+    """Of an array of logits."""
+    raised = let(F.struct(logits.alias("x"), F.array_max(logits).alias("top")), lambda s: F.transform(s["x"], lambda v: F.exp(v - s["top"])))
+    total = lambda e: F.aggregate(e, F.lit(0.0), lambda a, v: a + v)
+    return let(raised, lambda e: let(F.struct(e.alias("e"), total(e).alias("t")), lambda s: F.transform(s["e"], lambda v: v / s["t"])))
+
+
 def wilson(k: Column, n: Column, z: float = Z95) -> Column:
     """``low, high`` of the Wilson interval of k of n, within [0, 1]; null for n = 0."""
     p = F.try_divide(k, n)
@@ -47,9 +59,7 @@ def smoothed(values: Column, weight: float) -> Column:
 
 def entropy(logits: Column) -> Column:
     """Of the softmax of an array of logits."""
-    top = F.array_max(logits)
-    total = F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x - top))
-    return F.ln(total) - F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x - top) * (x - top)) / total
+    return let(softmax(logits), lambda p: -F.aggregate(p, F.lit(0.0), lambda a, x: a + F.when(x > 0, x * F.ln(x)).otherwise(0.0)))
 
 
 def dot(a: Column, b: Column) -> Column:

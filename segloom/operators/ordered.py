@@ -29,12 +29,24 @@ def _shifted(column: pa.Array, before) -> pa.Array:
     return pa.concat_arrays([head, column.slice(0, len(column) - 1)])
 
 
-def _pass(entity: str, lags: list[str], sums: list[str], names: list[str]):
+def _segmented_top(x: np.ndarray, goes_on: np.ndarray, held: float) -> np.ndarray:
+    """The largest value so far of each entity; the first rows go on from ``held`` where they belong to its entity."""
+    out = x.copy()
+    cuts = [0, *np.flatnonzero(~goes_on).tolist(), len(x)]
+    for a, b in zip(cuts, cuts[1:]):
+        if a < b:
+            out[a:b] = np.maximum.accumulate(x[a:b])
+    lead = cuts[1] if len(cuts) > 2 else len(x)
+    out[:lead] = np.maximum(out[:lead], held)
+    return out
+
+
+def _pass(entity: str, lags: list[str], sums: list[str], tops: list[str], names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        row, first, last, held, totals = 0, None, None, [None] * len(lags), [0] * len(sums)
+        row, first, last, held, totals, best = 0, None, None, [None] * len(lags), [0] * len(sums), [-np.inf] * len(tops)
         for batch in batches:
             n = batch.num_rows
             if not n:
@@ -64,28 +76,35 @@ def _pass(entity: str, lags: list[str], sums: list[str], names: list[str]):
                 runs = total + base
                 totals[i] = int(runs[-1])
                 out.append(pa.array(runs))
+            for i, c in enumerate(tops):
+                x = np.asarray(pc.fill_null(pc.cast(batch.column(c), pa.float64()), -np.inf))
+                largest = _segmented_top(x, goes_on, best[i])
+                best[i] = float(largest[-1])
+                out.append(pa.array(largest, mask=np.isneginf(largest)))
             lead = pc.fill_null(pc.equal(who, pa.scalar(first, who.type)), False)
             out += [pa.array(np.full(n, part, np.int32)), pa.array(np.arange(row, row + n)), lead]
             last, row = who[n - 1].as_py(), row + n
-            yield pa.record_batch(out, [*names, *(f"prev_{c}" for c in lags), *(f"run_{c}" for c in sums), "_part", "_row", "_lead"])
+            yield pa.record_batch(out, [*names, *(f"prev_{c}" for c in lags), *(f"run_{c}" for c in sums), *(f"top_{c}" for c in tops), "_part", "_row", "_lead"])
 
     return run
 
 
-def scan(df: DataFrame, entity: str, keys: list[str], lags: list[str] = [], sums: list[str] = []) -> DataFrame:  # noqa: B006
-    """``df`` with ``prev_<c>`` of the entity's row before (null for its first) and ``run_<c>``, the sum up to the row.
+def scan(df: DataFrame, entity: str, keys: list[str], lags: list[str] = [], sums: list[str] = [], tops: list[str] = []) -> DataFrame:  # noqa: B006
+    """``df`` with ``prev_<c>`` of the entity's row before (null for its first), ``run_<c>``, the sum, and ``top_<c>``, the
+    largest value, up to the row.
 
     Rows are ordered by ``keys`` within the entity; keys that tie leave the order among them open. Rows without entity
-    are left out; a null adds nothing to a sum. Sums are of whole numbers.
+    are left out; a null adds nothing to a sum and is no largest value. Sums are of whole numbers, largest values doubles.
     """
     names = df.columns
     kinds = {f.name: f.dataType for f in df.schema.fields}
     prev = [T.StructField(f"prev_{c}", kinds[c]) for c in lags]
     runs = [T.StructField(f"run_{c}", T.LongType()) for c in sums]
+    runs += [T.StructField(f"top_{c}", T.DoubleType()) for c in tops]
     marks = [T.StructField("_part", T.IntegerType()), T.StructField("_row", T.LongType()), T.StructField("_lead", T.BooleanType())]
     rows = durable(
         in_order(df.filter(F.col(entity).isNotNull()), entity, *keys).mapInArrow(
-            _pass(entity, lags, sums, names), T.StructType([*df.schema.fields, *prev, *runs, *marks])
+            _pass(entity, lags, sums, tops, names), T.StructType([*df.schema.fields, *prev, *runs, *marks])
         )
     )
     # One row a task: what stands at its edges.
@@ -93,7 +112,7 @@ def scan(df: DataFrame, entity: str, keys: list[str], lags: list[str] = [], sums
         rows.groupBy("_part")
         .agg(
             F.min_by(entity, "_row").alias("first"),
-            F.max_by(F.struct(F.col(entity).alias("entity"), *lags, *(f"run_{c}" for c in sums)), "_row").alias("last"),
+            F.max_by(F.struct(F.col(entity).alias("entity"), *lags, *(f"run_{c}" for c in sums), *(f"top_{c}" for c in tops)), "_row").alias("last"),
             F.bool_and("_lead").alias("single"),
         )
         .collect()
@@ -102,13 +121,14 @@ def scan(df: DataFrame, entity: str, keys: list[str], lags: list[str] = [], sums
     for e in sorted(edges, key=lambda e: e["_part"]):
         same = held is not None and held[0] == e["first"]
         if same:
-            carried.append((e["_part"], *held[1], *held[2]))
-        ends = [e["last"][f"run_{c}"] for c in sums]
+            carried.append((e["_part"], *held[1], *held[2], *held[3]))
+        ends, peaks = [e["last"][f"run_{c}"] for c in sums], [e["last"][f"top_{c}"] for c in tops]
         if same and e["single"]:
             ends = [a + b for a, b in zip(ends, held[2])]
-        held = (e["last"]["entity"], [e["last"][c] for c in lags], ends)
+            peaks = [max((x for x in p if x is not None), default=None) for p in zip(peaks, held[3])]
+        held = (e["last"]["entity"], [e["last"][c] for c in lags], ends, peaks)
     schema = T.StructType(
-        [T.StructField("_part", T.IntegerType()), *(T.StructField(f"_p_{c}", kinds[c]) for c in lags), *(T.StructField(f"_s_{c}", T.LongType()) for c in sums)]
+        [T.StructField("_part", T.IntegerType()), *(T.StructField(f"_p_{c}", kinds[c]) for c in lags), *(T.StructField(f"_s_{c}", T.LongType()) for c in sums), *(T.StructField(f"_t_{c}", T.DoubleType()) for c in tops)]
     )
     extra = F.broadcast(df.sparkSession.createDataFrame(carried, schema))
     at_edge = F.col("_lead") & (F.col("_row") == 0)
@@ -116,4 +136,5 @@ def scan(df: DataFrame, entity: str, keys: list[str], lags: list[str] = [], sums
         *names,
         *(F.when(at_edge, F.col(f"_p_{c}")).otherwise(F.col(f"prev_{c}")).alias(f"prev_{c}") for c in lags),
         *((F.col(f"run_{c}") + F.when(F.col("_lead"), F.coalesce(f"_s_{c}", F.lit(0))).otherwise(0)).alias(f"run_{c}") for c in sums),
+        *(F.greatest(f"top_{c}", F.when(F.col("_lead"), F.col(f"_t_{c}"))).alias(f"top_{c}") for c in tops),
     )

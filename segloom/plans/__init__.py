@@ -1,7 +1,7 @@
 """The catalogue of queries and their SQL."""
 
-from segloom.plans import graphs, groups, problems, records, sampling, text, timeline
+from segloom.plans import graphs, groups, more, problems, records, sampling, text, timeline
 
-QUERIES = {**timeline.QUERIES, **groups.QUERIES, **sampling.QUERIES, **records.QUERIES, **text.QUERIES, **graphs.QUERIES, **problems.QUERIES}
-ORACLE = {**timeline.ORACLE, **groups.ORACLE, **sampling.ORACLE, **records.ORACLE, **text.ORACLE, **graphs.ORACLE, **problems.ORACLE}
+QUERIES = {**timeline.QUERIES, **groups.QUERIES, **sampling.QUERIES, **records.QUERIES, **text.QUERIES, **graphs.QUERIES, **more.QUERIES, **problems.QUERIES}
+ORACLE = {**timeline.ORACLE, **groups.ORACLE, **sampling.ORACLE, **records.ORACLE, **text.ORACLE, **graphs.ORACLE, **more.ORACLE, **problems.ORACLE}
 FLAGSHIP = "seg_positional_eval"

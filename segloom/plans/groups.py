@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from segloom.functions import statistics as st
 from segloom.operators import groups as gr
+from segloom.operators.ordered import scan
 from segloom.session import table
 
 WEIGHTS = (0.5, 0.3, 0.2)
@@ -124,10 +125,13 @@ def rotated(spark: SparkSession, folder: str) -> DataFrame:
 
 def early_stop(spark: SparkSession, folder: str) -> DataFrame:
     """Per user, events since the best value so far."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = table(spark, folder, "events").select("user_id", "event_id", "ts", "value", F.row_number().over(w).alias("n"), F.max("value").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("best"))
-    rows = rows.withColumn("at", F.max(F.when(F.col("best").isNull() | (F.col("value") > F.col("best")), F.col("n"))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.select("user_id", "event_id", (F.col("n") - F.col("at")).cast("long").alias("since_best"))
+    keys = ["us", "event_id"]
+    rows = table(spark, folder, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "value", F.lit(1).alias("one"))
+    rows = scan(rows, "user_id", keys, sums=["one"], tops=["value"])
+    rows = scan(rows.select("user_id", *keys, F.col("run_one").alias("n"), F.col("top_value").alias("best")), "user_id", keys, lags=["best"])
+    better = F.col("best").isNotNull() & (F.col("prev_best").isNull() | (F.col("best") > F.col("prev_best")))
+    rows = scan(rows.select("user_id", *keys, "n", F.when(better, F.col("n")).alias("mark")), "user_id", keys, tops=["mark"])
+    return rows.select("user_id", "event_id", (F.col("n") - F.col("top_mark")).cast("long").alias("since_best"))
 
 
 def _embedded(spark: SparkSession, folder: str) -> DataFrame:
@@ -159,12 +163,12 @@ def pair_correlation(spark: SparkSession, folder: str) -> DataFrame:
     names = ("cosine", "euclid", "manhattan", "dot")
     each = F.explode(F.array(*(F.struct(F.lit(c).alias("measure"), F.col(c).alias("v")) for c in names))).alias("x")
     rows = _embedded(spark, folder).select("pair", "same", each).select("pair", "same", "x.measure", "x.v")
-    # Mean ranks out of counts per value: the values of one measure are ranked by a running sum over distinct values.
+    # Mean ranks out of counts per value: a running sum over the distinct values of a measure.
     ranked = rows
     for c, r in (("v", "rv"), ("same", "rs")):
         counts = rows.groupBy("measure", c).agg(F.count("*").alias("n"))
-        upto = F.sum("n").over(Window.partitionBy("measure").orderBy(c))
-        ranked = ranked.join(counts.select("measure", c, (upto - (F.col("n") - 1) / 2).alias(r)), ["measure", c])
+        ranks = scan(counts, "measure", [c], sums=["n"]).select("measure", c, (F.col("run_n") - (F.col("n") - 1) / 2).alias(r))
+        ranked = ranked.join(ranks, ["measure", c])
     return ranked.groupBy("measure").agg(six(F.corr("v", "same")).alias("pearson"), six(F.corr("rv", "rs")).alias("spearman"))
 
 
@@ -203,8 +207,6 @@ def ranking(spark: SparkSession, folder: str) -> DataFrame:
 
 def marked_groups(spark: SparkSession, folder: str) -> DataFrame:
     """Events in order, a purchase starting a group: the running count of purchases is the group; size of each."""
-    from segloom.operators.ordered import scan
-
     rows = table(spark, folder, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), (F.col("event_type") == "purchase").cast("int").alias("mark"))
     return scan(rows, "user_id", ["us", "event_id"], sums=["mark"]).filter("run_mark > 0").groupBy("user_id", F.col("run_mark").alias("part")).agg(F.count("*").alias("n"))
 

@@ -273,13 +273,16 @@ def seg_frames(spark: SparkSession, folder: str) -> DataFrame:
 
 def seg_subshots(spark: SparkSession, folder: str) -> DataFrame:
     """Per run of one event type of a user the event that changes least against its neighbours, the first on a tie."""
-    ev = table(spark, folder, "events").select("user_id", "event_id", "ts", "event_type", "value")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    left, right = F.abs(F.col("value") - F.lag("value").over(w)), F.abs(F.lead("value").over(w) - F.col("value"))
-    cost = F.coalesce((left + right) / 2, left, right, F.lit(0.0))
-    rows = ev.withColumn("cost", F.round(cost, 6)).withColumn("change", F.when(F.lag("event_type").over(w).eqNullSafe(F.col("event_type")), 0).otherwise(1))
-    runs = rows.withColumn("run", F.sum("change").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy("user_id", "run").agg(F.min(F.struct("cost", "ts", "event_id")).alias("m")).select("user_id", "run", F.col("m.event_id").alias("event_id"), F.col("m.cost").alias("cost"))
+    keys = ["us", "event_id"]
+    ev = table(spark, folder, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_type", "value")
+    rows = scan(ev, "user_id", keys, lags=["event_id", "event_type", "value"])
+    rows = rows.withColumn("left", F.abs(F.col("value") - F.col("prev_value")))
+    rows = rows.withColumn("change", F.when(F.col("prev_event_type").eqNullSafe(F.col("event_type")), 0).otherwise(1))
+    after = rows.filter("prev_event_id is not null").select(F.col("prev_event_id").alias("event_id"), F.col("left").alias("right"))  # the next row's left is this one's right
+    cost = F.coalesce((F.col("left") + F.col("right")) / 2, F.col("left"), F.col("right"), F.lit(0.0))
+    runs = scan(rows.select("user_id", *keys, "left", "change"), "user_id", keys, sums=["change"]).join(after, "event_id", "left").withColumn("cost", F.round(cost, 6))
+    best = runs.groupBy("user_id", F.col("run_change").alias("run")).agg(F.min(F.struct("cost", "us", "event_id")).alias("m"))
+    return best.select("user_id", "run", F.col("m.event_id").alias("event_id"), F.col("m.cost").alias("cost"))
 
 
 def seg_scene_cuts(spark: SparkSession, folder: str) -> DataFrame:

@@ -7,6 +7,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -49,6 +50,16 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Keys up to this number are sent to every task; beyond it they are joined by a shuffle.
+MOST_SENT = 1_000_000
+
+
+def narrowed(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """The rows of ``df`` with one of the keys. keys: one column, counted first, so it should be ``durable``."""
+    few = keys.count() <= MOST_SENT
+    return df.join(F.broadcast(keys) if few else keys, on, "left_semi")
+
+
 def ship(spark: SparkSession) -> None:
     """Give the package to the Python workers of this application, wherever they run; once per context."""
     context = spark.sparkContext

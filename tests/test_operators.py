@@ -159,3 +159,30 @@ def test_scorers(spark, tmp_path):
     assert scorers.score(df, "plugged", ["x"]).first().score == -1.5
     with pytest.raises(KeyError):
         scorers.score(df, "absent", ["x"])
+
+
+def test_overlap_scores(spark):
+    from segloom.functions import overlap_scores as os_
+
+    assert os_.longest_common(list("abcbdab"), list("bdcaba")) == 4
+    assert os_.rouge("a b c".split(), "a b c".split()) == (1.0, 1.0, 1.0) and os_.rouge([], ["a"]) == (0.0, 0.0, 0.0)
+    assert os_.bleu("a b c d e".split(), "a b c d e".split()) == 1.0 and os_.bleu(["x"], ["y"]) == 0.0 and 0 < os_.bleu("a b".split(), "a c".split()) < 1
+    df = spark.createDataFrame([("a b", "a c"), (None, None)], "p string, r string")
+    assert [(r.rouge_1, r.rouge_2) for r in os_.scored(df, "p", "r").collect()] == [(50.0, 0.0), (0.0, 0.0)]
+
+
+def test_refine(spark):
+    from segloom.operators import refine
+
+    df = spark.createDataFrame([(1, 100), (2, 9), (3, None)], "id long, n long")
+    got = {r.id: (r.n, r.rounds) for r in refine.until_complete(df, lambda d: d.withColumn("n", F.floor(F.col("n") / 2)), F.col("n") <= 20, 2).collect()}
+    assert got == {1: (25, 2), 2: (9, 0), 3: (None, 2)}
+
+    def step(row, turn):
+        row["n"] = (row["n"] or 0) - 10
+        return row, row["n"] < 50
+
+    assert sorted((r.id, r.n) for r in refine.turns(df.filter("n is not null"), step, "id long, n long", 8).collect()) == [(1, 40), (2, -1)]
+    segs = spark.createDataFrame([([(0.0, 1.0, "A", "x"), (1.0, 2.0, "A", "y"), (2.0, 3.0, "B", "z"), (3.0, 4.0, None, "n")],)], "s array<struct<start_time:double,end_time:double,emotion:string,reason:string>>")
+    out = segs.select(refine.merge_rescored(F.col("s"), lambda t: F.lit("B")).alias("x")).first().x
+    assert [(x.emotion, x.reason) for x in out] == [("B", "x Then, y Then, z"), (None, "n")]

@@ -12,11 +12,11 @@ def test_scan_against_a_loop(spark, seed):
     rows = [(rng.choice(["hot"] * 5 + ["a", "b", None]), i, rng.randint(-3, 9) if rng.random() < 0.9 else None, rng.choice(["x", "y", None])) for i in range(n)]
     rng.shuffle(rows)
     df = spark.createDataFrame(rows, "entity string, k long, v long, label string")
-    got = {(r.entity, r.k): (r.prev_label, r.prev_k, r.run_v) for r in scan(df, "entity", ["k"], lags=["label", "k"], sums=["v"]).collect()}
+    got = {(r.entity, r.k): (r.prev_label, r.prev_k, r.run_v, r.top_v) for r in scan(df, "entity", ["k"], lags=["label", "k"], sums=["v"], tops=["v"]).collect()}
     want, state = {}, {}
     for e, k, v, label in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], r[1])):
-        before = state.get(e, (None, None, 0))
-        total = before[2] + (v or 0)
-        want[(e, k)] = (before[0], before[1], total)
-        state[e] = (label, k, total)
+        before = state.get(e, (None, None, 0, None))
+        total, top = before[2] + (v or 0), max((x for x in (before[3], v) if x is not None), default=None)
+        want[(e, k)] = (before[0], before[1], total, top)
+        state[e] = (label, k, total, top)
     assert got == want
