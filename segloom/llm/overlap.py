@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from segloom.functions.embedded_json import find_value
 from segloom.functions.spelling import fold
 from segloom.llm.segment_join import segment_join
+from segloom.session import durable, narrowed
 
 # File endings, and words that mark a copy, a re-encoding or a revision.
 ENDINGS = "mp4 m4v avi mov mkv webm wmv flv mpg mpeg ts mts m2ts ogv ogg 3gp 3g2 vob asf f4v rm rmvb mxf gif".split()
@@ -185,17 +186,18 @@ def same_content(training: DataFrame, evaluation: DataFrame, words: float = 0.8,
     training, evaluation: as ``contents`` gives them. Copies are joined once, by their signature. A time that is missing
     agrees with a missing one only.
     """
-    once = lambda df: df.dropDuplicates(["sig"])
     steps = within_ms // 100
     block = lambda ds: F.concat_ws(":", ds.cast("string"), F.col("shape"))
-    q = once(evaluation).withColumn("ds", F.explode(F.array(*(F.col("last_ds") + d for d in range(-steps, steps + 1)))))
+    q = evaluation.withColumn("ds", F.explode(F.array(*(F.col("last_ds") + d for d in range(-steps, steps + 1)))))
     q = q.select(block(F.col("ds")).alias("block"), F.col("sig").alias("id"), F.col("words").alias("text"))
-    b = once(training).select(block(F.col("last_ds")).alias("block"), F.col("sig").alias("id"), F.col("words").alias("text"))
+    b = training.select(block(F.col("last_ds")).alias("block"), F.col("sig").alias("id"), F.col("words").alias("text"))
     # d <= (1 - words) * longer side follows from d <= (1 / words - 1) * query length.
-    pairs = segment_join(q, b, share=round(1 / words - 1, 6))
-    e = once(evaluation).select(F.col("sig").alias("query_id"), F.col("times").alias("qt"), F.col("words").alias("qw"))
-    t = once(training).select(F.col("sig").alias("base_id"), F.col("times").alias("bt"), F.col("words").alias("bw"))
-    longer = F.greatest(F.char_length("qw"), F.char_length("bw"))
+    pairs = durable(segment_join(q, b, share=round(1 / words - 1, 6)))
+    hit = lambda df, side: narrowed(df, durable(pairs.select(F.col(side).alias("sig")).distinct()), "sig")
+    evaluation, training = hit(evaluation, "query_id"), hit(training, "base_id")
+    e = evaluation.select(F.col("sig").alias("query_id"), F.col("times").alias("qt"), F.char_length("words").alias("qn")).distinct()
+    t = training.select(F.col("sig").alias("base_id"), F.col("times").alias("bt"), F.char_length("words").alias("bn")).distinct()
+    longer = F.greatest("qn", "bn")
     agree = F.forall(
         F.zip_with("qt", "bt", lambda x, y: F.coalesce(F.abs(x - y) <= within_ms + 1, x.isNull() & y.isNull())), lambda x: x
     )
