@@ -23,6 +23,14 @@ def guarded(df: DataFrame, faults: DataFrame, message: str) -> DataFrame:
     return df.join(F.broadcast(check), F.col("_ok") == 0).drop("_ok")
 
 
+def only_columns(df: DataFrame, allowed: set[str]) -> DataFrame:
+    """``df`` itself if it has no column beyond the allowed ones, so that no label leaks in; else an error."""
+    extra = sorted(set(df.columns) - allowed)
+    if extra:
+        raise ValueError(f"columns that must not be there: {', '.join(extra)}")
+    return df
+
+
 def first_reason(rules: list[tuple[Column, str]], otherwise: str = "") -> Column:
     """The name of the first rule that holds; a rule that is null doesn't hold."""
     out = F.when(rules[0][0], rules[0][1])

@@ -106,6 +106,14 @@ def close_gaps(segments: Column, duration: Column, tolerance: float = 0.5) -> Co
     return F.transform(segments, fix)
 
 
+def listing(segments: Column) -> Column:
+    """A line a segment with its number, times and label, for prompts."""
+    line = lambda x, i: F.concat(
+        F.format_string("Segment %d: [%.1fs, %.1fs] ", i, F.round(x["start_time"], 1), F.round(x["end_time"], 1)), F.coalesce(x["emotion"], F.lit("none"))
+    )
+    return F.array_join(F.transform(segments, line), "\n")
+
+
 def first_fault(segments: Column, duration: Column, vocabulary: list[str], tolerance: float, decimals: bool) -> Column:
     """The first rule that a segment list breaks, else null: empty, order, continuity, label, reason, repeated, decimals, coverage.
 

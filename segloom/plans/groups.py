@@ -222,7 +222,7 @@ def paired_tests(spark: SparkSession, folder: str) -> DataFrame:
     """Two models per condition and clip: agreement table, exact McNemar probability, adjusted by Holm's steps."""
     o = table(spark, folder, "outputs").filter("raw_output is not null").groupBy("model", "prompt_kind", "video_id").agg(F.max((F.char_length("raw_output") > 600).cast("int")).alias("y"))
     side = lambda m, c: o.filter(F.col("model") == m).select("prompt_kind", "video_id", F.col("y").alias(c))
-    rows = side("dar_tuned", "a").join(side("dar_base", "b"), ["prompt_kind", "video_id"])
+    rows = side("peer_vl", "a").join(side("peer_small", "b"), ["prompt_kind", "video_id"])
     t = rows.groupBy("prompt_kind").agg(F.count_if(F.expr("a = 1 and b = 1")).alias("both"), F.count_if(F.expr("a = 1 and b = 0")).alias("a_only"), F.count_if(F.expr("a = 0 and b = 1")).alias("b_only"), F.count_if(F.expr("a = 0 and b = 0")).alias("neither"))
     t = t.withColumn("p", st.mcnemar(F.col("a_only"), F.col("b_only")))
     order = Window.orderBy("p", "prompt_kind")  # one row a condition
@@ -350,7 +350,7 @@ w as (select *, cast(k as double) / n as p, {st.Z95} as z from g)
 select l_suppkey, n, k, round(greatest(0.0, (p + z * z / (2 * n)) / (1 + z * z / n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)), 6) as low,
   round(least(1.0, (p + z * z / (2 * n)) / (1 + z * z / n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)), 6) as high from w""",
     "paired_tests": """with o as (select model, prompt_kind, video_id, max(case when length(raw_output) > 600 then 1 else 0 end) as y from outputs where raw_output is not null group by 1, 2, 3),
-r as (select a.prompt_kind, a.y as a, b.y as b from o a join o b on a.model = 'dar_tuned' and b.model = 'dar_base' and a.prompt_kind = b.prompt_kind and a.video_id = b.video_id),
+r as (select a.prompt_kind, a.y as a, b.y as b from o a join o b on a.model = 'peer_vl' and b.model = 'peer_small' and a.prompt_kind = b.prompt_kind and a.video_id = b.video_id),
 t as (select prompt_kind, count(*) filter (a = 1 and b = 1) as "both", count(*) filter (a = 1 and b = 0) as a_only, count(*) filter (a = 0 and b = 1) as b_only, count(*) filter (a = 0 and b = 0) as neither from r group by 1),
 i as (select prompt_kind, unnest(range(0, least(a_only, b_only) + 1)) as i from t),
 s as (select prompt_kind, sum(exp(lgamma(a_only + b_only + 1) - lgamma(i + 1) - lgamma(a_only + b_only - i + 1) - (a_only + b_only) * ln(2.0))) as tail from i join t using (prompt_kind) group by 1),

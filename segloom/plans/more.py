@@ -9,6 +9,7 @@ from segloom.functions import overlap_scores
 from segloom.functions import statistics as st
 from segloom.operators import refine
 from segloom.operators import sampling as sm
+from segloom.operators import segments as sg
 from segloom.plans.timeline import _LISTS, _lists
 from segloom.session import table
 
@@ -162,6 +163,12 @@ def prj_prefixes(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy(F.col("chosen.status").alias("chosen"), F.col("rejected.priority").alias("rejected")).agg(F.count("*").alias("n"))
 
 
+def prj_listing(spark: SparkSession, folder: str) -> DataFrame:
+    """Each answer's segments as lines of a prompt, and its first segment without the others."""
+    rows = _lists(spark, folder).filter(F.forall("segments", lambda x: x["start_time"].isNotNull() & x["end_time"].isNotNull()))
+    return rows.select("row_id", "turn_no", sg.listing(F.col("segments")).alias("listing"), sg.listing(F.slice("segments", 1, 1)).alias("first"))
+
+
 def num_canonical(spark: SparkSession, folder: str) -> DataFrame:
     """A digest of each event as JSON with its members in order of name."""
     ev = table(spark, folder, "events")
@@ -209,6 +216,9 @@ select x as "left", y as "right", count(*) as n from c group by 1, 2""",
     "prj_parts": """with t as (select distinct row_id, array_to_string(list_transform(conversations, lambda t: coalesce(t.value, '')), '') as v from train where len(conversations) > 0)
 select row_id, md5(v) as text, cast(len(regexp_extract_all(v, '<video>')) as integer) as videos from t""",
     "prj_prefixes": "select o_orderstatus as chosen, o_orderpriority as rejected, count(*) as n from orders group by 1, 2",
+    "prj_listing": f"""with {_LISTS}, t as (select *, 'Segment ' || k || ': [' || printf('%.1f', round(s, 1)) || 's, ' || printf('%.1f', round(e, 1)) || 's] ' || coalesce(label, 'none') as t from l)
+select row_id, turn_no, string_agg(t, chr(10) order by k) as listing, any_value(t) filter (k = 0) as first from t group by 1, 2 having bool_and(s is not null and e is not null)
+union all select row_id, turn_no, '', '' from l1 where json_array_length(j) = 0""",
     "num_canonical": """select event_id, sha256('{"event_type":"' || event_type || '","user_id":' || user_id || '}') as digest from events""",
     "num_python_literals": "select event_id, cast(json_extract_string(props, '$.k') as integer) as k from events",
 }
@@ -217,6 +227,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         ref_merge_rescored, ref_until_complete, sta_overlap_scores, sta_unigram_overlap, sta_clusters, sta_divergence, agg_masked_accuracy, pck_bins, flt_strict_rows, flt_evidence,
-        flt_frame_graph, flt_one_to_one, prj_parts, prj_prefixes, num_canonical, num_python_literals,
+        flt_frame_graph, flt_one_to_one, prj_parts, prj_prefixes, prj_listing, num_canonical, num_python_literals,
     )
 }
