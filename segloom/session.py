@@ -51,7 +51,7 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 #: Keys up to this number are sent to every task; beyond it they are joined by a shuffle.
-MOST_SENT = 1_000_000
+MOST_SENT = 200_000
 
 
 def narrowed(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
