@@ -138,3 +138,58 @@ def scan(df: DataFrame, entity: str, keys: list[str], lags: list[str] = [], sums
         *((F.col(f"run_{c}") + F.when(F.col("_lead"), F.coalesce(f"_s_{c}", F.lit(0))).otherwise(0)).alias(f"run_{c}") for c in sums),
         *(F.greatest(f"top_{c}", F.when(F.col("_lead"), F.col(f"_t_{c}"))).alias(f"top_{c}") for c in tops),
     )
+
+
+def _decay(entity: str, value: str, weight: float, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+        first = last = None
+        y, rank, row = 0.0, 0, 0
+        for batch in batches:
+            who, values = batch.column(entity).to_pylist(), batch.column(value).to_pylist()
+            first = who[0] if row == 0 and who else first
+            ys, ranks = [], []
+            for e, v in zip(who, values):
+                y, rank = (y, rank) if row + len(ys) and e == last else (0.0, 0)
+                last = e
+                if v is not None:
+                    y, rank = weight * y + (1 - weight) * v, rank + 1
+                ys.append(y)
+                ranks.append(rank)
+            n = len(ys)
+            lead = [e == first for e in who]
+            yield pa.record_batch(
+                [*(batch.column(c) for c in names), pa.array(ys, pa.float64()), pa.array(ranks, pa.int64()), pa.array([part] * n, pa.int32()), pa.array(range(row, row + n), pa.int64()), pa.array(lead, pa.bool_())],
+                [*names, "_y", "_n", "_part", "_row", "_lead"],
+            )
+            row += n
+
+    return run
+
+
+def smoothed(df: DataFrame, entity: str, keys: list[str], value: str, weight: float) -> DataFrame:
+    """``df`` with ``smooth``: the entity's values up to the row, each ``weight`` times the next one's share, scaled to the sum 1.
+
+    A task smooths its range; what the task before it hands on is one row, and fades by the weight for every value. A null
+    value repeats what was before it; before any value ``smooth`` is null. Rows without entity are left out.
+    """
+    names = df.columns
+    fields = [*df.schema.fields, T.StructField("_y", T.DoubleType()), T.StructField("_n", T.LongType()), T.StructField("_part", T.IntegerType()), T.StructField("_row", T.LongType()), T.StructField("_lead", T.BooleanType())]
+    rows = durable(in_order(df.filter(F.col(entity).isNotNull()), entity, *keys).mapInArrow(_decay(entity, value, weight, names), T.StructType(fields)))
+    edges = rows.groupBy("_part").agg(F.min_by(entity, "_row").alias("first"), F.max_by(F.struct(F.col(entity).alias("e"), "_y", "_n"), "_row").alias("last"), F.bool_and("_lead").alias("single")).collect()
+    carried, held = [], None
+    for e in sorted(edges, key=lambda e: e["_part"]):
+        y, n = e["last"]["_y"], e["last"]["_n"]
+        if held is not None and held[0] == e["first"]:
+            carried.append((e["_part"], held[1], held[2]))
+            if e["single"]:
+                y, n = y + weight**n * held[1], n + held[2]
+        held = (e["last"]["e"], y, n)
+    extra = F.broadcast(df.sparkSession.createDataFrame(carried, "_part int, _cy double, _cn long"))
+    joined = rows.join(extra, "_part", "left")
+    lead = F.col("_lead") & F.col("_cy").isNotNull()
+    y = F.col("_y") + F.when(lead, F.pow(F.lit(weight), F.col("_n")) * F.col("_cy")).otherwise(0.0)
+    n = F.col("_n") + F.when(lead, F.col("_cn")).otherwise(0)
+    return joined.select(*names, F.when(n > 0, y / (1 - F.pow(F.lit(weight), n))).alias("smooth"))

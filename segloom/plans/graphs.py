@@ -35,10 +35,12 @@ def graph_identities(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def graph_components(spark: SparkSession, folder: str) -> DataFrame:
-    """Parts and suppliers linked by small seventh lines: sizes of the components."""
-    li = _lines(spark, folder).filter("l_quantity < 4 and l_linenumber = 7 and l_discount < 0.02")
-    edges = li.select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 10_000_000).alias("b"))
-    return components(edges).groupBy("component").agg(F.count("*").alias("n"))
+    """Documents linked to the clips that they are about, and to other copies of their text: sizes of the components."""
+    d, m = table(spark, folder, "documents"), table(spark, folder, "manifest")
+    about = d.select("doc_id", "video_id").join(m.select("video_id", "row_id").distinct(), "video_id").select(F.col("doc_id").alias("a"), F.col("row_id").alias("b"))
+    texts = d.filter("text is not null").select("doc_id", F.sha2("text", 256).alias("t"))
+    copies = texts.join(texts.groupBy("t").agg(F.min("doc_id").alias("b")), "t").select(F.col("doc_id").alias("a"), "b")
+    return components(about.unionByName(copies)).groupBy("component").agg(F.count("*").alias("n"))
 
 
 def graph_projection(spark: SparkSession, folder: str) -> DataFrame:
@@ -61,7 +63,8 @@ select graph, any_value(repeated_ids) as repeated_ids, count(*) filter (d) as da
 i as (select l_orderkey * 100 + k as id, l_orderkey, l_suppkey % 10 as scope, sum(case when abs(l_quantity - q) < 15 then 0 else 1 end) over (partition by l_orderkey order by k rows unbounded preceding) as run from r),
 f as (select *, min(id) over (partition by l_orderkey, run) as identity from i), c as (select identity, scope, count(*) as n from f group by 1, 2), m as (select identity, max(n) > 1 as conflict from c group by 1)
 select id, identity, conflict from f join m using (identity)""",
-    "graph_components": """with recursive e as (select distinct l_partkey as a, l_suppkey + 10000000 as b from lineitem where l_quantity < 4 and l_linenumber = 7 and l_discount < 0.02), n as (select a as u, b as v from e union select b, a from e),
+    "graph_components": """with recursive e as (select distinct doc_id as a, row_id as b from documents join manifest using (video_id) union select doc_id, min(doc_id) over (partition by text) from documents where text is not null),
+n as (select a as u, b as v from e where a <> b union select b, a from e where a <> b),
 r as (select u as node, u as c from n union select n.v, r.c from r join n on n.u = r.node where r.c < n.v), m as (select node, min(c) as component from r group by 1)
 select component, count(*) as n from m group by 1""",
     "graph_projection": """with r as (select l_orderkey, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity) as k, count(*) over (partition by l_orderkey) as n from lineitem)

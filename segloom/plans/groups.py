@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from segloom.functions import statistics as st
 from segloom.operators import groups as gr
-from segloom.operators.ordered import scan
+from segloom.operators.ordered import scan, smoothed
 from segloom.session import table
 
 WEIGHTS = (0.5, 0.3, 0.2)
@@ -241,11 +241,9 @@ def label_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def smoothing(spark: SparkSession, folder: str) -> DataFrame:
-    """Exponentially smoothed values of each user's first fifty events."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = table(spark, folder, "events").select("user_id", "event_id", F.row_number().over(w).alias("n"), "value").filter("n <= 50")
-    by = rows.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "value"))), lambda x: x["value"]).alias("v"))  # fifty values at most
-    return by.select("user_id", F.posexplode(st.smoothed(F.col("v"), 0.9)).alias("n", "x")).select("user_id", "n", six("x").alias("x"))
+    """Exponentially smoothed values of each user's events."""
+    rows = table(spark, folder, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "value")
+    return smoothed(rows, "user_id", ["us", "event_id"], "value", 0.9).select("user_id", "event_id", six("smooth").alias("x"))
 
 
 def softmax_entropy(spark: SparkSession, folder: str) -> DataFrame:
@@ -360,9 +358,9 @@ select prompt_kind, "both", a_only, b_only, neither, round(p, 6) as p, round(max
     "label_events": """with m as (select distinct row_id, source, kind from manifest)
 select coalesce(source, 'none') as source, count(*) as n, count(*) filter (kind is null) as unknown, count(*) filter (kind = 'natural') as "natural",
   round(count(*) filter (kind = 'natural') / count(*), 6) as of_all, round(count(*) filter (kind = 'natural') / nullif(count(kind), 0), 6) as of_known from m group by 1""",
-    "smoothing": """with r as (select user_id, value, row_number() over (partition by user_id order by ts, event_id) as n from events),
-s as (select a.user_id, a.n, sum(0.1 * b.value * pow(0.9, a.n - b.n)) / (1 - pow(0.9, a.n)) as x from r a join r b on a.user_id = b.user_id and b.n <= a.n where a.n <= 50 group by 1, 2)
-select user_id, cast(n - 1 as integer) as n, round(x, 6) as x from s""",
+    "smoothing": """with r as (select user_id, event_id, value, row_number() over (partition by user_id order by ts, event_id) as n from events),
+s as (select a.user_id, a.event_id, sum(0.1::double * b.value * pow(0.9::double, a.n - b.n)) / (1 - pow(0.9::double, any_value(a.n))) as x from r a join r b on a.user_id = b.user_id and b.n <= a.n group by 1, 2)
+select user_id, event_id, round(x, 6) as x from s""",
     "softmax_entropy": """with e as (select vec_id, unnest(embedding)::double as x from embeddings), m as (select vec_id, max(x) as m from embeddings, unnest(embedding) as u(x) group by vec_id),
 s as (select e.vec_id, sum(exp(x - m)) as t, sum(exp(x - m) * (x - m)) as u from e join (select vec_id, max(x) as m from e group by vec_id) m using (vec_id) group by e.vec_id)
 select vec_id, round(ln(t) - u / t, 6) as entropy from s""",

@@ -102,7 +102,7 @@ g as (select video_id, s, e, sum(case when r is null or s > r + 100 then 1 else
   over (partition by video_id order by s, e rows unbounded preceding) as k from m),
 p as (select video_id, min(s) as start_ms, max(e) as end_ms from g group by video_id, k)"""
 
-_VALUE = """v0 as (select distinct row_id, (i - 1) as turn_no, regexp_replace(conversations[i].value, '^\\s*```[a-zA-Z]*\\s*', '') as v
+VALUE = """v0 as (select distinct row_id, (i - 1) as turn_no, regexp_replace(conversations[i].value, '^\\s*```[a-zA-Z]*\\s*', '') as v
   from (select row_id, conversations, unnest(range(1, len(conversations) + 1)) as i from train where conversations is not null)
   where conversations[i]."from" = 'gpt' and conversations[i].value is not null),
 v1 as (select row_id, turn_no, case when ltrim(v)[1] = '"' then case when json_valid(v) then json_extract_string(v, '$') end else v end as v from v0),
@@ -123,7 +123,7 @@ union all select video_id, 'gap', 0, start_ms from n where pv is null and start_
 union all select video_id, 'gap', end_ms, lim from n join d using (video_id) where nx is null and lim - end_ms > 100""",
     "p5_coverage": f"""with {_USABLE}
 select video_id, count(*) as periods, cast(sum(end_ms - start_ms) as bigint) as covered_ms from p group by video_id""",
-    "p6_found": f"""with {_VALUE},
+    "p6_found": f"""with {VALUE},
 e as (select row_id, turn_no, unnest(range(0, cast(json_array_length(l) as bigint))) as n, l from s where json_type(l) = 'ARRAY'),
 c as (select row_id, turn_no, n, json_extract(l, '$[' || n || '].candidate_pairs') as q from e)
 select row_id, turn_no, n as segment_no, cast(-1 as bigint) as pair_no from e
@@ -131,7 +131,7 @@ union select row_id, turn_no, n, unnest(range(0, cast(json_array_length(q) as bi
     "p6_records": """select distinct row_id, video, video_duration, source, cast(coalesce(len(conversations), 0) as bigint) as turns from train""",
     "p6_turns": """select distinct row_id, i - 1 as turn_no, conversations[i]."from" as role, conversations[i].value as value
 from (select row_id, conversations, unnest(range(1, len(conversations) + 1)) as i from train where conversations is not null)""",
-    "p6_segments": f"""with {_VALUE},
+    "p6_segments": f"""with {VALUE},
 e as (select row_id, turn_no, n as segment_no, json_extract(l, '$[' || n || ']') as o
   from (select row_id, turn_no, unnest(range(0, cast(json_array_length(l) as bigint))) as n, l from s where json_type(l) = 'ARRAY'))
 select distinct row_id, turn_no, segment_no,
@@ -139,7 +139,7 @@ select distinct row_id, turn_no, segment_no,
   try_cast(coalesce(json_extract_string(o, '$.end_time'), json_extract_string(o, '$.end')) as double) as end_time,
   json_extract_string(o, '$.emotion') as emotion, json_extract_string(o, '$.reason') as reason, json_extract_string(o, '$.event') as event,
   try_cast(json_extract_string(o, '$.selected_pair_index') as integer) as selected_pair_index from e""",
-    "p6_pairs": f"""with {_VALUE},
+    "p6_pairs": f"""with {VALUE},
 e as (select row_id, turn_no, unnest(range(0, cast(json_array_length(l) as bigint))) as n, l from s where json_type(l) = 'ARRAY'),
 c as (select row_id, turn_no, n as segment_no, json_extract(l, '$[' || n || '].candidate_pairs') as q from e),
 x as (select row_id, turn_no, segment_no, unnest(range(0, cast(json_array_length(q) as bigint))) as pair_no, q from c where json_type(q) = 'ARRAY')

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from segloom.functions import intervals as iv
 from segloom.operators import segments as sg
 from segloom.operators.ordered import scan
+from segloom.plans import problems
 from segloom.plans.base import GT, PRED, SEG, gt, pred, seg
 from segloom.session import table
 
@@ -18,7 +19,7 @@ VOCABULARY = (
     "Awkwardness,Empathic Pain,Fear,Anger,Sadness,Relief,Boredom,Joy,Aesthetic Appreciation,Adoration,Admiration,Amusement,Satisfaction,Disgust,"
     "Sexual Desire,Confusion,Romance,Craving,Horror,Excitement,Nostalgia,Awe (or Wonder),Interest,Calmness,Surprise,Entrancement,Anxiety"
 ).split(",")
-_LIST = "struct<segments:array<struct<start_time:string,end_time:string,emotion:string,reason:string>>>"
+_ITEM = "array<struct<start_time:string,end_time:string,start:string,end:string,emotion:string,reason:string>>"
 
 
 def six(x):
@@ -80,7 +81,7 @@ def seg_eval_overall(spark: SparkSession, folder: str) -> DataFrame:
         six(F.avg(F.col("count_match").cast("double"))).alias("count_match_all"),
         six(F.avg("mean_iou")).alias("macro_iou"),
     )
-    return pool.crossJoin(F.broadcast(rates))  # one row each
+    return pool.join(F.broadcast(rates))  # one row each
 
 
 def _best(spark: SparkSession, folder: str, by: str) -> DataFrame:
@@ -188,7 +189,7 @@ def seg_matched_f1(spark: SparkSession, folder: str) -> DataFrame:
     met = sg.overlapping(p, g, BUCKET).filter(F.col("pl") == F.col("gl")).filter(iv.iou(F.col("s"), F.col("e"), F.col("s2"), F.col("e2")) >= 0.5)
     tp = sg.matched(met.select("entity", "i", "j")).agg(F.sum("pairs").alias("tp"))
     np_, ng = (df.agg(F.count("*").alias(n)) for df, n in ((p, "pred"), (g, "gt")))
-    return tp.crossJoin(np_).crossJoin(ng).select("tp", "pred", "gt", six(2 * F.col("tp") / (F.col("pred") + F.col("gt"))).alias("f1"))  # one row each
+    return tp.join(F.broadcast(np_)).join(F.broadcast(ng)).select("tp", "pred", "gt", six(2 * F.col("tp") / (F.col("pred") + F.col("gt"))).alias("f1"))  # one row each
 
 
 def seg_flags(spark: SparkSession, folder: str) -> DataFrame:
@@ -203,23 +204,28 @@ def seg_flags(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _lists(spark: SparkSession, folder: str) -> DataFrame:
-    """``row_id, turn_no, duration, segments`` of the answers that are a plain JSON object."""
+    """``row_id, turn_no, duration, segments`` of the answers with a whole JSON value, however it is wrapped."""
     c = F.posexplode("conversations").alias("turn_no", "t")
     rows = table(spark, folder, "train").select("row_id", F.coalesce(F.nullif("video_duration", F.lit(0.0)), F.lit(30.0)).alias("duration"), c)
-    rows = rows.filter((F.col("t.from") == "gpt") & F.startswith(F.col("t.value"), F.lit('{"segments": [{"start_time"')) & F.endswith(F.col("t.value"), F.lit("]}")))
-    number = lambda x, c: x[c].try_cast("double").alias(c)  # noqa: E731  (times may be quoted)
-    typed = lambda x: F.struct(number(x, "start_time"), number(x, "end_time"), x["emotion"].alias("emotion"), x["reason"].alias("reason"))
-    parsed = rows.select("row_id", F.col("turn_no").cast("long").alias("turn_no"), "duration", F.transform(F.from_json("t.value", _LIST)["segments"], typed).alias("segments"))
+    rows = rows.filter((F.col("t.from") == "gpt") & F.col("t.value").rlike(r"[\[{]"))
+    text = F.regexp_replace("t.value", r"^\s*```[a-zA-Z]*\s*", "")
+    text = F.when(F.startswith(F.ltrim(text), F.lit('"')), F.try_variant_get(F.try_parse_json(text), "$", "string")).otherwise(text)
+    rows = rows.withColumn("v", F.regexp_extract(text, r"(?s)[\[{].*[\]}]", 0))
+    rows = rows.filter((F.col("v") != "") & F.try_parse_json(F.concat(F.lit("["), F.col("v"), F.lit("]"))).isNotNull())
+    wrapped = F.from_json("v", f"struct<segments:{_ITEM},result:struct<segments:{_ITEM}>>")
+    found = F.when(F.startswith("v", F.lit("[")), F.from_json("v", _ITEM)).otherwise(F.coalesce(wrapped["segments"], wrapped["result"]["segments"]))
+    number = lambda x, c, other: F.coalesce(x[c], x[other]).try_cast("double").alias(c)  # noqa: E731  (times may be quoted)
+    typed = lambda x: F.struct(number(x, "start_time", "start"), number(x, "end_time", "end"), x["emotion"].alias("emotion"), x["reason"].alias("reason"))
+    parsed = rows.select("row_id", F.col("turn_no").cast("long").alias("turn_no"), "duration", F.transform(found, typed).alias("segments"))
     return parsed.filter("segments is not null").dropDuplicates(["row_id", "turn_no"])
 
 
-_LISTS = """l0 as (select distinct row_id, i - 1 as turn_no, coalesce(nullif(video_duration, 0), 30.0) as duration, conversations[i].value as v
-  from (select row_id, video_duration, conversations, unnest(range(1, len(conversations) + 1)) as i from train where conversations is not null)
-  where conversations[i]."from" = 'gpt' and starts_with(conversations[i].value, '{"segments": [{"start_time"') and ends_with(conversations[i].value, ']}')),
-l1 as (select row_id, turn_no, duration, json_extract(cast(v as json), '$.segments') as j from l0 where json_valid(v)),
+_LISTS = problems.VALUE + """,
+l0 as (select distinct row_id, coalesce(nullif(video_duration, 0), 30.0) as duration from train),
+l1 as (select row_id, turn_no, duration, l as j from s join l0 using (row_id) where json_type(l) = 'ARRAY'),
 l2 as (select row_id, turn_no, duration, j, unnest(range(0, cast(json_array_length(j) as bigint))) as k from l1),
-l as (select row_id, turn_no, duration, k, try_cast(json_extract_string(j, '$[' || k || '].start_time') as double) as s,
-  try_cast(json_extract_string(j, '$[' || k || '].end_time') as double) as e, json_extract_string(j, '$[' || k || '].emotion') as label,
+l as (select row_id, turn_no, duration, k, try_cast(coalesce(json_extract_string(j, '$[' || k || '].start_time'), json_extract_string(j, '$[' || k || '].start')) as double) as s,
+  try_cast(coalesce(json_extract_string(j, '$[' || k || '].end_time'), json_extract_string(j, '$[' || k || '].end')) as double) as e, json_extract_string(j, '$[' || k || '].emotion') as label,
   json_extract_string(j, '$[' || k || '].reason') as reason from l2)"""
 
 
