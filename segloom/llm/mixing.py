@@ -5,6 +5,8 @@ balanced, so the weights sum to 1 at any time, and over the whole time the sourc
 is ``T w (t + a (t^2 - t))``; a record that stands at c tokens of its source's order is needed at the time where the
 demand is c, found by solving the quadratic. The order within a source is by a hash of id and pass, its running sum is
 made by ranges of that order: sums within a task, then one offset per task and source. The mix is range-sorted by time.
+Records are used as long as they end within the demand; what then is missing is filled by single records further on in
+the order, the largest that fits again and again, so a source of a few long records keeps its share, too.
 
 The total T is the largest at which every source can have its share with no record used more than its source allows.
 """
@@ -23,7 +25,8 @@ from pyspark.sql import functions as F
 from segloom.operators.ordered import in_order
 from segloom.session import durable, partitions
 
-MOST_SOURCES = 100_000
+#: Targets beyond this number are an error; records a source that may fill a rest.
+MOST_SOURCES, FILLERS = 10_000, 6
 _SUMMED = "source string, pass int, doc_id long, tokens long, upto long, part int"
 
 
@@ -112,12 +115,35 @@ def supplies(sizes: DataFrame, targets: DataFrame) -> dict[str, tuple[int, int]]
     return {r.source: (r.t, r.n) for r in rows}
 
 
+def _fillers(located: DataFrame, plans: list[Plan]) -> DataFrame:
+    """``source, doc_id, pass, filler``: up to FILLERS records a source that fill what the records within its demand leave."""
+    spark = located.sparkSession
+    reached = {r.source: r.n for r in located.filter("within").groupBy("source").agg(F.max("end").alias("n")).collect()}
+    room = {p.source: int(p.demand - reached.get(p.source, 0)) for p in plans}
+    chosen: list[tuple[str, int, int]] = []
+    for _ in range(FILLERS):
+        open_ = [(s, n) for s, n in room.items() if n > 0]
+        if not open_:
+            break
+        taken = F.broadcast(spark.createDataFrame(chosen, "source string, doc_id long, pass int"))
+        left = located.filter("not within and tokens > 0").join(F.broadcast(spark.createDataFrame(open_, "source string, room long")), "source").filter("tokens <= room")
+        best = F.max(F.struct("tokens", "end", "doc_id", "pass")).alias("m")
+        found = left.join(taken, ["source", "doc_id", "pass"], "left_anti").groupBy("source").agg(best).collect()  # a row a source
+        if not found:
+            break
+        for r in found:
+            chosen.append((r.source, r.m.doc_id, r.m["pass"]))
+            room[r.source] -= r.m.tokens
+        room = {r.source: room[r.source] for r in found}
+    return spark.createDataFrame([(*c, True) for c in chosen], "source string, doc_id long, pass int, filler boolean")
+
+
 def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None, strength: float = 0.5) -> DataFrame:
     """``position, source, doc_id, pass, tokens`` sorted by position, the time of training in [0, 1].
 
     sizes: ``doc_id, source, tokens``; targets: ``source, target_share, max_repeats``, a small table whose size is
-    checked. Records of sources without a target (or of none) aren't used. The last record of a source is used if at
-    least half of it is within the demand.
+    checked. Records of sources without a target (or of none) aren't used. A source stays below its demand by less than
+    any of its records that are left, or after FILLERS of them.
     """
     wanted = targets.filter("source is not null").select("source", "target_share", "max_repeats").limit(MOST_SOURCES + 1).collect()
     if len(wanted) > MOST_SOURCES:
@@ -139,12 +165,20 @@ def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None, strength
     offsets = summed.groupBy("source", "part").agg(F.max("upto").alias("all")).select(
         "source", "part", F.coalesce(F.sum("all").over(ahead), F.lit(0)).alias("ahead")
     )
-    middle = F.col("ahead") + F.col("upto") - F.col("tokens") / 2
-    return (
+    located = (
         summed.join(F.broadcast(offsets), ["source", "part"])
         .join(F.broadcast(planned), "source")
-        .withColumn("u", middle / F.col("demand"))
-        .filter("u <= 1")
+        .withColumn("end", F.col("ahead") + F.col("upto"))
+        .withColumn("within", F.col("end") <= F.col("demand"))
+    )
+    fillers = _fillers(located, plans)
+    # A filler has its time by a hash: it stands outside the order that the demand is counted in.
+    chance = F.pmod(F.xxhash64("doc_id", "pass", F.lit(1)), F.lit(1_000_000)) / 1_000_000
+    middle = (F.col("end") - F.col("tokens") / 2) / F.col("demand")
+    return (
+        located.join(F.broadcast(fillers), ["source", "doc_id", "pass"], "left")
+        .filter(F.col("within") | F.col("filler"))
+        .withColumn("u", F.when(F.col("within"), middle).otherwise(chance))
         .select("source", "doc_id", "pass", "tokens", "u", "tilt")
         .mapInArrow(_place, "position double, source string, doc_id long, pass int, tokens long")
         .repartitionByRange(partitions(spark), "position", "doc_id")

@@ -38,6 +38,18 @@ def test_shares_and_repeats(spark):
     assert all(abs(shares[s].reached_share - tokens[s] / total) < 1e-9 and shares[s].most_uses <= most[s] for s in "abc")
 
 
+def test_a_few_long_records_keep_the_share(spark):
+    rng = random.Random(4)
+    rows = [(i, "a", 20) for i in range(4000)] + [(10_000 + i, "b", n) for i, n in enumerate([9000] * 6 + [rng.randint(100, 3000) for _ in range(40)])] + [(20_000 + i, "c", 30) for i in range(600)]
+    got = mixing.mix(*frames(spark, rows, [("a", 0.8, 1), ("b", 0.1, 1), ("c", 0.1, 1)])).collect()
+    total = sum(r.tokens for r in got)
+    by = Counter()
+    for r in got:
+        by[r.source] += r.tokens
+    assert all(abs(by[s] / total - w) < 0.004 for s, w in (("a", 0.8), ("b", 0.1), ("c", 0.1))), by
+    assert len({(r.doc_id, r["pass"]) for r in got}) == len(got)
+
+
 def test_weights_over_time(spark):
     rows = [(i, "ab"[i % 2], 10 if i % 2 else 30) for i in range(4000)]
     sizes, targets = frames(spark, rows, [("a", 0.5, 1), ("b", 0.5, 9)])
