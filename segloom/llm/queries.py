@@ -111,7 +111,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p1_templates(spark: SparkSession, folder: str) -> DataFrame:
     """Openings that recur across unrelated questions or decline, with their clusters."""
-    found = pairs.templates(pairs.openings(durable(pairs.judged(_answers(spark, folder)))))
+    found = pairs.templates(durable(pairs.judged(_answers(spark, folder))))
     return found.filter((F.col("questions") >= pairs.UNRELATED) | (F.col("declining") > 0))
 
 
