@@ -52,12 +52,21 @@ def durable(df: DataFrame) -> DataFrame:
 
 #: Keys up to this number are sent to every task; beyond it they are joined by a shuffle.
 MOST_SENT = 200_000
+#: Parts that a key is split into in such a shuffle, so that a hot one is no single task's.
+SALTS = 16
 
 
-def narrowed(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
-    """The rows of ``df`` with one of the keys. keys: one column, counted first, so it should be ``durable``."""
-    few = keys.count() <= MOST_SENT
-    return df.join(F.broadcast(keys) if few else keys, on, "left_semi")
+def few(keys: DataFrame) -> bool:
+    """Whether there are few enough of the (durable) keys to send them; ``spark.segloom.mostSent`` overrules the bound."""
+    return keys.count() <= int(keys.sparkSession.conf.get("spark.segloom.mostSent", str(MOST_SENT)))
+
+
+def narrowed(df: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
+    """The rows of ``df`` with one of the keys (``left_anti``: with none). keys: one column, counted first, so it should be ``durable``."""
+    if few(keys):
+        return df.join(F.broadcast(keys), on, how)
+    salted = keys.select(on, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    return df.withColumn("_salt", (F.monotonically_increasing_id() % SALTS).cast("int")).join(salted, [on, "_salt"], how).drop("_salt")
 
 
 def ship(spark: SparkSession) -> None:
