@@ -71,6 +71,11 @@ def prose_ending(text: str) -> int:
     return OPEN if words > 1 or (ord(tail[-1]) > 0x2E80 and len(tail) > 3) else WHOLE
 
 
+def bare(text: str) -> bool:
+    """A single word without any punctuation after it: the text alone doesn't tell whether more was to come."""
+    return text.rstrip()[-1:].isalnum()
+
+
 def unclosed(text: str) -> bool:
     """Whether a JSON text ends within a string or with open brackets."""
     bare = _STRING.sub("", text)

@@ -94,6 +94,10 @@ def p2_overlaps(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+#: Finish reasons of a run that was stopped.
+STOPPED = ("length", "abort", "error")
+
+
 def _answers(spark: SparkSession, folder: str) -> DataFrame:
     outputs = table(spark, folder, "outputs").select(
         F.lit("outputs").alias("record_table"),
@@ -101,8 +105,10 @@ def _answers(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(0).cast("long").alias("turn_no"),
         F.col("prompt").alias("question"),
         F.col("raw_output").alias("answer"),
+        F.col("finish_reason").isin(*STOPPED).alias("stopped"),
     )
-    return pairs.conversation_pairs(table(spark, folder, "train"), "train").unionByName(outputs)
+    turns = pairs.conversation_pairs(table(spark, folder, "train"), "train").withColumn("stopped", F.lit(None).cast("boolean"))
+    return turns.unionByName(outputs)
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -110,9 +116,9 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_templates(spark: SparkSession, folder: str) -> DataFrame:
-    """Openings that recur across unrelated questions or decline, with their clusters."""
-    found = pairs.templates(durable(pairs.judged(_answers(spark, folder))))
-    return found.filter((F.col("questions") >= pairs.UNRELATED) | (F.col("declining") > 0))
+    """Texts of answers foreign to descriptions that recur under unrelated questions or decline, with their clusters."""
+    found = pairs.templates(*pairs.candidates(durable(pairs.judged(_answers(spark, folder)))))
+    return found.filter((F.col("questions") >= pairs.UNRELATED) | F.col("declining")).drop("id")
 
 
 def _readings(spark: SparkSession, folder: str) -> DataFrame:
