@@ -71,6 +71,17 @@ def prose_ending(text: str) -> int:
     return OPEN if words > 1 or (ord(tail[-1]) > 0x2E80 and len(tail) > 3) else WHOLE
 
 
+_INNER = re.compile(r"[\w\"'”»)][,;:.!?](?:\s|$)|[，、；：。！？]")
+
+
+def punctuates(text: str) -> bool:
+    """Whether a text is written in sentences: it has punctuation inside, or six words or more, the first one with a capital and not all."""
+    if _INNER.search(text):
+        return True
+    words = text.split()
+    return len(words) > 5 and words[0][:1].isupper() and any(w[:1].islower() for w in words[1:])
+
+
 def bare(text: str) -> bool:
     """A single word without any punctuation after it: the text alone doesn't tell whether more was to come."""
     return text.rstrip()[-1:].isalnum()

@@ -122,13 +122,10 @@ def p1_templates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _readings(spark: SparkSession, folder: str) -> DataFrame:
-    return durable(
-        truncation.readings(
-            table(spark, folder, "outputs").select(
-                F.col("output_id").alias("id"), "source", F.col("finish_reason").isin("length", "abort", "error").alias("stopped"), F.col("raw_output").alias("text")
-            )
-        )
+    outputs = table(spark, folder, "outputs").select(
+        F.col("output_id").alias("id"), "source", F.col("finish_reason").isin(*STOPPED).alias("stopped"), F.col("raw_output").alias("text"), F.col("generated_tokens").alias("tokens")
     )
+    return durable(truncation.readings(outputs))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -147,6 +144,11 @@ def p4_shares(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p4_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """How many cut texts each rule decides, and how many of them lie at a limit."""
+    return truncation.cut(_readings(spark, folder)).groupBy("rule").agg(F.count("*").alias("texts"), F.count_if("at_limit").alias("at_limit"))
+
+
 def p4_limits(spark: SparkSession, folder: str) -> DataFrame:
     """The hidden limits of each source, by the way of counting that exposes them."""
     return truncation.limits(_readings(spark, folder)).drop("v")
@@ -186,7 +188,7 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_templates, p2_found, p2_overlaps, p3_found, p3_runs, p4_found, p4_shares, p4_limits, p7_packed, p7_fill, p8_mix, p8_shares,
+        p1_found, p1_templates, p2_found, p2_overlaps, p3_found, p3_runs, p4_found, p4_shares, p4_limits, p4_rules, p7_packed, p7_fill, p8_mix, p8_shares,
         p9_found, p9_classes, p9_forms,
     )
 }
@@ -215,7 +217,27 @@ c as (select output_id, source, case when blank then false
   when json then not json_valid(regexp_extract(b, '(?s)[\\[{].*[\\]}]', 0))
   else regexp_matches(t, '(\\.\\.\\.|…|[\\[<(](truncated|cut|\\.\\.\\.)[\\])>])\\s*["”»]*\\s*$') or
     (not regexp_matches(t, '[.!?。！？](\\s|```|["”»)\\]]|<\\|?[a-z]+\\|?>|\\p{So})*$') and regexp_matches(t, '\\S\\s+\\S')) end as cut from k)"""
+_N = lambda c: f"(length(t) - length(replace(t, {c}, '')))"
+_ENTITIES = f"""(4 * {_N("'&'")} + 3 * {_N("'<'")} + 3 * {_N("'>'")} + 5 * {_N("chr(34)")} + 5 * {_N("chr(39)")})"""
+_SHORT = "(" + " + ".join(map(_N, ("chr(34)", "chr(92)", "chr(10)", "chr(13)", "chr(9)"))) + ")"
+_ASTRAL = "length(regexp_replace(t, '[^\\x{10000}-\\x{10FFFF}]', '', 'g'))"
+_WIDE = f"(5 * (length(regexp_replace(t, '[\\x{{0000}}-\\x{{007F}}]', '', 'g')) - {_ASTRAL}) + 11 * {_ASTRAL})"
+_CRLF = f"({_N('chr(10)')} - (length(t) - length(replace(t, chr(13) || chr(10), ''))) // 2)"
+_LENGTHS = {
+    "points": "length(t)", "utf16": f"length(t) + {_ASTRAL}", "bytes": "strlen(t)", "entities": f"length(t) + {_ENTITIES}", "entity_bytes": f"strlen(t) + {_ENTITIES}",
+    "json": f"length(t) + {_SHORT} + {_WIDE}", "json_bytes": f"strlen(t) + {_SHORT}", "crlf": f"length(t) + {_CRLF}", "crlf_bytes": f"strlen(t) + {_CRLF}", "tokens": "generated_tokens",
+}
+_LIMITS = f"""{_CUT.replace("source, raw_output as t", "source, generated_tokens, raw_output as t").replace("select output_id, source, case", "select output_id, source, generated_tokens, t, case")},
+h as (select output_id, source, cut, unnest([{", ".join(f"{{'variant': '{v}', 'length': cast({x} as int)}}" for v, x in _LENGTHS.items())}], recursive := true) from c),
+y as (select source, variant, length, count(*) as texts, count(*) filter (where cut) as broken from h where length >= 64 group by all),
+w as (select *, (sum(texts) over (partition by source, variant order by length range between 10 preceding and 10 following) - texts) / 20.0 as around from y),
+m as (select source, variant, length, texts, broken from w where texts >= 5 and texts >= 4 * (1 + around) and broken >= 0.5 * texts)"""
+_AT = """z as (select distinct h.output_id from h join m on h.source is not distinct from m.source and h.variant = m.variant
+  and h.length between m.length - case when m.variant = 'tokens' then 0 else 3 end and m.length where h.cut)"""
 ORACLE = {
+    "p4_limits": f"with {_LIMITS} select * from m",
+    "p4_shares": f"""with {_LIMITS}, {_AT} select source, count(*) as texts, count(*) filter (where cut) as cut, count(z.output_id) as cut_at_limit, count(*) filter (where cut) / count(*) as share
+from c left join z using (output_id) group by source""",
     "p4_found": f"with {_CUT} select output_id from c where cut",
     "p9_found": f"""with {_FORMS} select a.doc_id as doc_id_a, b.doc_id as doc_id_b from f a join f b on a.form = b.form and a.text <> b.text and a.doc_id < b.doc_id""",
     "p9_forms": f"""with {_FORMS} select doc_id, form from f""",
