@@ -75,11 +75,12 @@ _INNER = re.compile(r"[\w\"'”»)][,;:.!?](?:\s|$)|[，、；：。！？]")
 
 
 def punctuates(text: str) -> bool:
-    """Whether a text is written in sentences: it has punctuation inside, or six words or more, the first one with a capital and not all."""
+    """Whether a text ought to end in punctuation: it has some inside, or six words or more, the first one with a capital and not
+    all, or goes on for a hundred words and more."""
     if _INNER.search(text):
         return True
     words = text.split()
-    return len(words) > 5 and words[0][:1].isupper() and any(w[:1].islower() for w in words[1:])
+    return len(words) >= 100 or len(words) > 5 and words[0][:1].isupper() and any(w[:1].islower() for w in words[1:])
 
 
 def bare(text: str) -> bool:
