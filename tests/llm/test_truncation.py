@@ -88,7 +88,7 @@ def test_other_sources_change_nothing(spark):
 def test_limit_decides_what_the_text_leaves_open(spark):
     """Lower-case notes without punctuation, and single words, are cut where they lie at a limit of their source."""
     notes = "lorem ipsum dolor sit amet " * 30
-    rows = [(i, "a", False, (f"n{i} " + notes)[:200]) for i in range(30)] + [(50 + i, "a", False, f"n{i} " + notes[: 60 + 9 * i].rstrip()) for i in range(20)]
+    rows = [(i, "a", False, (f"n{i} " + notes)[:200]) for i in range(30)] + [(50 + i, "a", False, f"n{i} " + notes[: 60 + 6 * i].rstrip()) for i in range(20)]
     rows += [(90, "a", False, "x" * 200), (91, "b", False, "x" * 200), (92, "b", False, ("n " + notes)[:200])]
     got = {r.id: r.rule for r in cut(readings(table(spark, rows))).collect()}
     assert got == dict.fromkeys([*range(30), 90], "limit")
