@@ -1,9 +1,10 @@
 """Records of evaluation splits that are in the training split too, by clip name or by content.
 
-Names are brought to a key (location, file ending, link additions, case, separators, number padding and marks of
-copying, re-encoding or revision taken off) and joined within an edit by segments; the exact check that follows keeps
-equal keys. Content is the sequence of a record's words, a symbol a word, joined by segments within the words that may
-differ; emotions and times have to agree.
+Names are brought to a key: location, file ending, link additions, case and number padding are taken off, and marks of
+copying, re-encoding or revision where they stand as such, at the end of the name or, of copies, before it. Keys are joined
+within a few edits by segments, numbers being the block; the exact test that follows keeps pairs that differ in separators
+only (``pet_cam 5``, ``petcam5``). Content is the sequence of a record's words, a symbol a word, joined by segments within
+the words that may differ; emotions and times have to agree.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 from urllib.parse import unquote
 
 import pyarrow as pa
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 from segloom.functions.embedded_json import find_value
 from segloom.functions.spelling import fold
 from segloom.llm.segment_join import segment_join
+from segloom.operators.components import components
 from segloom.session import durable, narrowed
 
 # File endings, and words that mark a copy, a re-encoding or a revision.
@@ -37,12 +40,16 @@ _LEADING = re.compile(r"^(?:copy[\W_]+(?:\(\d+\)[\W_]+)?of[\W_]+|re[\W_]+|dup[\W
 _PARTS = re.compile(r"[^\W_]+")
 _PADDED = re.compile(r"([a-z]{2,})(\d{3,})$")
 _PIECE = re.compile(r"pt0*(\d+)$")
+#: Separators by which the keys of one clip may differ.
+SEPARATORS = 3
 
 
 def clip_key(name: str | None) -> str | None:
-    """The name of a clip without all that doesn't tell clips apart; None for null and for names without any letter or digit.
+    """The name of a clip without all that doesn't tell clips apart, its words parted by spaces; None for null and for names
+    without any letter or digit.
 
-    Numbered parts (``_ptN``) stay. A name made of marks only keeps them.
+    Numbered parts (``_ptN``) stay. A mark counts at the end of the name, and a mark of copies before it; within a name it
+    is a word like others (``old_man_01``). A name made of marks only keeps the first.
     """
     if name is None:
         return None
@@ -61,8 +68,12 @@ def clip_key(name: str | None) -> str | None:
             break
         s = shorter
     s = _LEADING.sub("", _COUNT.sub("", s))
-    parts = _PARTS.findall(s)
-    kept = [p for p in parts if not _MARK.match(p)] or parts
+    kept = _PARTS.findall(s)
+    part = []
+    while len(kept) > 1 and (_MARK.match(kept[-1]) or _PIECE.match(kept[-1])):
+        part = part or ([kept[-1]] if _PIECE.match(kept[-1]) else [])
+        kept.pop()
+    kept += part
     out = []
     for p in kept:
         if p.isdigit():
@@ -94,7 +105,7 @@ def clip_keys(rows: DataFrame, name: str, key: str = "row_id") -> DataFrame:
     )
 
 
-def near_names(training: DataFrame, evaluation: DataFrame, edits: int = 1) -> DataFrame:
+def near_names(training: DataFrame, evaluation: DataFrame, edits: int = SEPARATORS) -> DataFrame:
     """``query, base, distance`` of the distinct keys of both sides within ``edits``.
 
     Keys whose numbers differ name different clips whatever else agrees, so the numbers are the block of the join.
@@ -104,12 +115,18 @@ def near_names(training: DataFrame, evaluation: DataFrame, edits: int = 1) -> Da
     return pairs.withColumnsRenamed({"query_id": "query", "base_id": "base"})
 
 
-def same_name(training: DataFrame, evaluation: DataFrame, edits: int = 1) -> DataFrame:
-    """``train_row_id, eval_row_id`` of the records of one clip: near names, then the exact check."""
-    same = near_names(training, evaluation, edits).filter("distance = 0").select(F.col("query").alias("key"))
-    t = training.join(same, "key", "left_semi").select("key", F.col("row_id").alias("train_row_id"))
-    e = evaluation.join(same, "key", "left_semi").select("key", F.col("row_id").alias("eval_row_id"))
-    return t.join(e, "key").select("train_row_id", "eval_row_id").distinct()
+def linked_names(training: DataFrame, evaluation: DataFrame, edits: int = SEPARATORS) -> DataFrame:
+    """``query, base`` of the near keys that name one clip: they differ in separators only."""
+    bare = lambda c: F.replace(F.col(c), F.lit(" "), F.lit(""))
+    return near_names(training, evaluation, edits).filter(bare("query") == bare("base")).select("query", "base")
+
+
+def same_name(training: DataFrame, evaluation: DataFrame, edits: int = SEPARATORS) -> DataFrame:
+    """``train_row_id, eval_row_id`` of the records of one clip: near names, then the exact test."""
+    same = durable(linked_names(training, evaluation, edits))
+    t = training.select(F.col("key").alias("base"), F.col("row_id").alias("train_row_id"))
+    e = evaluation.select(F.col("key").alias("query"), F.col("row_id").alias("eval_row_id"))
+    return same.join(t, "base").join(e, "query").select("train_row_id", "eval_row_id").distinct()
 
 
 def segment_list(value) -> list | None:
@@ -180,11 +197,10 @@ def contents(rows: DataFrame, key: str = "row_id") -> DataFrame:
     )
 
 
-def same_content(training: DataFrame, evaluation: DataFrame, words: float = 0.8, within_ms: int = 100) -> DataFrame:
-    """``train_row_id, eval_row_id`` of records with one sequence of emotions, times and (nearly) words.
+def linked_contents(training: DataFrame, evaluation: DataFrame, words: float = 0.8, within_ms: int = 100) -> DataFrame:
+    """``query_id, base_id``: the signatures of contents with one sequence of emotions, times and (nearly) words.
 
-    training, evaluation: as ``contents`` gives them. Copies are joined once, by their signature. A time that is missing
-    agrees with a missing one only.
+    training, evaluation: as ``contents`` gives them. A time that is missing agrees with a missing one only.
     """
     steps = within_ms // 100
     block = lambda ds: F.concat_ws(":", ds.cast("string"), F.col("shape"))
@@ -201,16 +217,48 @@ def same_content(training: DataFrame, evaluation: DataFrame, words: float = 0.8,
     agree = F.forall(
         F.zip_with("qt", "bt", lambda x, y: F.coalesce(F.abs(x - y) <= within_ms + 1, x.isNull() & y.isNull())), lambda x: x
     )
-    same = (
+    return (
         pairs.join(e, "query_id")
         .join(t, "base_id")
         .filter((F.col("distance") <= (1 - words) * longer + 1e-9) & (F.size("qt") == F.size("bt")) & agree)
         .select("query_id", "base_id")
     )
-    ids = lambda df, sig, name: df.select(F.col("sig").alias(sig), F.col("row_id").alias(name)).distinct()
+
+
+def same_content(training: DataFrame, evaluation: DataFrame, words: float = 0.8, within_ms: int = 100) -> DataFrame:
+    """``train_row_id, eval_row_id`` of records of linked contents. Copies are joined once, by their signature."""
+    same = durable(linked_contents(training, evaluation, words, within_ms))
+    ids = lambda df, sig, name: narrowed(df, durable(same.select(F.col(sig).alias("sig")).distinct()), "sig").select(F.col("sig").alias(sig), F.col("row_id").alias(name)).distinct()
     return (
         same.join(ids(training, "base_id", "train_row_id"), "base_id")
         .join(ids(evaluation, "query_id", "eval_row_id"), "query_id")
         .select("train_row_id", "eval_row_id")
         .distinct()
     )
+
+
+def clips(train_keys: DataFrame, eval_keys: DataFrame, train_contents: DataFrame, eval_contents: DataFrame) -> DataFrame:
+    """``side, row_id, class_id, name_links, content_links``: each record that is in both splits, once.
+
+    A class holds the records that links of names or contents join, directly or over others; links are the records of the
+    other side. Keys and signatures are linked, never rows, so copies of a clip cost a row each and not a row a pair.
+    """
+    named = durable(linked_names(train_keys, eval_keys))
+    alike = durable(linked_contents(train_contents, eval_contents))
+    edges, counts = [], []
+    for same, one, two, column, kind in ((named, eval_keys, train_keys, "key", "name"), (alike, eval_contents, train_contents, "sig", "content")):
+        q, b = ("query", "base") if kind == "name" else ("query_id", "base_id")
+        node = lambda side, c, kind=kind: F.xxhash64(F.lit(f"{kind} {side}"), F.col(c))
+        edges.append(same.select(node("eval", q).alias("a"), node("train", b).alias("b")))
+        for side, rows, mine, theirs, others in (("eval", one, q, b, two), ("train", two, b, q, one)):
+            ids = rows.select(F.col(column).alias(mine), "row_id").distinct()
+            held = others.select(F.col(column).alias(theirs), "row_id").distinct().groupBy(theirs).agg(F.count("*").alias("n"))
+            links = same.join(held, theirs).groupBy(mine).agg(F.sum("n").alias("n"))
+            hit = ids.join(links, mine)
+            edges.append(hit.select(node(side, mine).alias("a"), F.xxhash64(F.lit(f"row {side}"), "row_id").alias("b")))
+            counts.append(hit.select(F.lit(side).alias("side"), "row_id", F.lit(kind).alias("kind"), "n"))
+    union = lambda frames: reduce(DataFrame.unionByName, frames)
+    member = components(union(edges))
+    of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0)).alias(f"{kind}_links")
+    rows = union(counts).groupBy("side", "row_id").agg(of("name"), of("content"))
+    return rows.withColumn("id", F.xxhash64(F.concat(F.lit("row "), "side"), "row_id")).join(member, "id").select("side", "row_id", F.col("component").alias("class_id"), "name_links", "content_links")

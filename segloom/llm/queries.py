@@ -71,13 +71,28 @@ def _evaluation(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]
     return table(spark, folder, "test"), table(spark, folder, "manifest").filter(F.col("split_name").isin("dev", "study"))
 
 
-def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+def _clips(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     train = table(spark, folder, "train")
     test, manifest = _evaluation(spark, folder)
     names = overlap.clip_keys(test, "video").unionByName(overlap.clip_keys(manifest, "video_id"))
-    named = overlap.same_name(durable(overlap.clip_keys(train, "video")), durable(names))
-    alike = overlap.same_content(durable(overlap.contents(train)), durable(overlap.contents(test)))
-    return named.unionByName(alike).distinct()
+    return tuple(map(durable, (overlap.clip_keys(train, "video"), names, overlap.contents(train), overlap.contents(test))))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    train_keys, eval_keys, train_contents, eval_contents = _clips(spark, folder)
+    return overlap.same_name(train_keys, eval_keys).unionByName(overlap.same_content(train_contents, eval_contents)).distinct()
+
+
+def p2_clips(spark: SparkSession, folder: str) -> DataFrame:
+    """Every record that is in both splits with its class and the number of its links, copies not expanded."""
+    return overlap.clips(*_clips(spark, folder))
+
+
+def p2_near_names(spark: SparkSession, folder: str) -> DataFrame:
+    """Keys of both sides that are an edit apart and yet other clips, for review."""
+    train_keys, eval_keys, _, _ = _clips(spark, folder)
+    near = overlap.near_names(train_keys, eval_keys, edits=1)
+    return near.join(overlap.linked_names(train_keys, eval_keys, edits=1), ["query", "base"], "left_anti")
 
 
 def p2_overlaps(spark: SparkSession, folder: str) -> DataFrame:
@@ -188,7 +203,7 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_templates, p2_found, p2_overlaps, p3_found, p3_runs, p4_found, p4_shares, p4_limits, p4_rules, p7_packed, p7_fill, p8_mix, p8_shares,
+        p1_found, p1_templates, p2_found, p2_overlaps, p2_clips, p2_near_names, p3_found, p3_runs, p4_found, p4_shares, p4_limits, p4_rules, p7_packed, p7_fill, p8_mix, p8_shares,
         p9_found, p9_classes, p9_forms,
     )
 }

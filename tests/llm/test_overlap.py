@@ -53,7 +53,7 @@ def test_one_clip_under_many_names(name):
 
 @pytest.mark.parametrize(
     ("a", "b"),
-    [("fc_008210498_pt1", "fc_008210498_pt2"), ("fc_008210498", "fc_008210498_pt1"), ("fc_008210498", "fc_008210499"), ("fc_008210498", "008210498"), ("arch-1993-000432081", "arch-1994-000432081"), ("nba-000132306", "nbb-000132306"), ("0udqflky", "udqflky"), ("pet_cam1_5", "pet_cam2_5")],
+    [("fc_008210498_pt1", "fc_008210498_pt2"), ("fc_008210498", "fc_008210498_pt1"), ("fc_008210498", "fc_008210499"), ("fc_008210498", "008210498"), ("arch-1993-000432081", "arch-1994-000432081"), ("nba-000132306", "nbb-000132306"), ("0udqflky", "udqflky"), ("pet_cam1_5", "pet_cam2_5"), ("old_man_01", "man_01"), ("new_york_001", "york_1"), ("orig_7_fc", "7_fc")],
 )
 def test_different_clips(a, b):
     assert overlap.clip_key(a) != overlap.clip_key(b)
@@ -97,3 +97,27 @@ def test_names_in_tables(spark):
     train = frame([(1, "/a/fc_0001.mp4"), (2, "/b/FC-1_copy.avi"), (3, "fc_2"), (4, None), (1, "/a/fc_0001.mp4")])
     test = frame([(11, "fc_00001 (3)"), (12, "fc_3"), (13, None)])
     assert sorted((r.train_row_id, r.eval_row_id) for r in overlap.same_name(train, test).collect()) == [(1, 11), (2, 11)]
+    assert not {(r.query, r.base) for r in overlap.linked_names(train, test).collect()} - {("fc 1", "fc 1")}
+
+
+def test_names_that_equality_misses(spark):
+    """Separators make keys differ; the join within some edits brings them together, and the exact test keeps other clips out."""
+    frame = lambda rows: overlap.clip_keys(spark.createDataFrame(rows, "row_id long, name string"), "name")
+    train = frame([(1, "/a/pet_cam5_0077.mp4"), (2, "home_reel_0031.mp4"), (3, "DL004042871.mp4"), (4, "man_01"), (5, "cam1_23"), (6, "fc_12_pt1")])
+    test = frame([(11, "petcam5 77"), (12, "HomeReel_31_hd"), (13, "dl_4042871"), (14, "old_man_01"), (15, "cam12_3"), (16, "fc_12_pt2"), (17, "pet cam 5_77-copy")])
+    got = sorted((r.train_row_id, r.eval_row_id) for r in overlap.same_name(train, test).collect())
+    assert got == [(1, 11), (1, 17), (2, 12), (3, 13)]
+    equal = train.join(test.withColumnRenamed("row_id", "e"), "key")
+    assert sorted((r.row_id, r.e) for r in equal.collect()) == [(3, 13)]
+
+
+def test_classes_of_clips(spark):
+    frame = lambda rows: overlap.clip_keys(spark.createDataFrame(rows, "row_id long, name string"), "name")
+    train, test = frame([(1, "fc_1"), (2, "fc_01"), (3, "fc_2"), (4, "fc_9")]), frame([(11, "fc_1_hd"), (12, "fc_2"), (13, "fc_3")])
+    a, b = words(30, 1), words(25, 2)
+    content = lambda rows: overlap.contents(spark.createDataFrame(rows, "row_id long, video string, conversations array<struct<from:string,value:string>>"))
+    got = overlap.clips(train, test, content([record(segs([a, b]), 3)]), content([record(segs([a, b]), 11)])).collect()
+    assert sorted((r.side, r.row_id, r.name_links, r.content_links) for r in got) == [
+        ("eval", 11, 2, 1), ("eval", 12, 1, 0), ("train", 1, 1, 0), ("train", 2, 1, 0), ("train", 3, 1, 1),
+    ]
+    assert len({r.class_id for r in got}) == 1
