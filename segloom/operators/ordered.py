@@ -20,8 +20,26 @@ from pyspark.sql import types as T
 from segloom.session import durable, partitions
 
 
+#: Input bytes that a range is meant to hold.
+RANGE_BYTES = 128 << 20
+
+
+def ranges(df: DataFrame) -> int:
+    """Ranges to cut ``df`` into: the session's shuffle partitions, and more where the files or checkpoints it reads call for it."""
+    size = parts = 0
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        kind = leaf.nodeName()
+        if kind.startswith("LogicalRelation") or kind.startswith("Relation"):
+            size += int(str(leaf.stats().sizeInBytes()))
+        elif hasattr(leaf, "rdd") and "RDD" in kind:
+            parts = max(parts, leaf.rdd().getNumPartitions())
+    return max(partitions(df.sparkSession), parts, -(-size // RANGE_BYTES))
+
+
 def in_order(df: DataFrame, *keys: str) -> DataFrame:
-    return df.repartitionByRange(partitions(df.sparkSession), *keys).sortWithinPartitions(*keys)
+    return df.repartitionByRange(ranges(df), *keys).sortWithinPartitions(*keys)
 
 
 def _shifted(column: pa.Array, before) -> pa.Array:
