@@ -1,10 +1,16 @@
 """Runs of identical or near-identical consecutive events, collapsed into one event each.
 
 Adjacent agglomeration: the runs of an entity form a linked list; a priority queue holds the neighbouring runs that may
-merge, most similar first; merging goes on until no neighbours meet the similarity and gap limits. Runs are compared
-where they touch (the last event of one, the first of the next), so the result doesn't depend on where the list is cut
-and each task can agglomerate its own range of the order. Tasks report the first and the last run as open; the open
-runs, at most two a task, are agglomerated in a last small step.
+merge, most similar first; after each merge the similarity of the new run to its neighbours is computed anew, and merging
+goes on until no neighbours meet the similarity and gap limits. Two runs are as similar as their least similar labels
+(complete linkage), so which merge comes first matters: of ``a``, ``b``, ``c``, each near to the next, ``b`` joins the
+nearer one, and the result may be too far from the other.
+
+Neighbouring events that don't meet the limits never share a run, so the order is cut there into stretches; each task
+goes through its range batch by batch and holds one stretch at a time, events of one label in it as one item. The first
+and the last stretch of a task are open: they go on in its neighbours and are agglomerated with them in a last step. From
+a similarity of ``VARIANT`` on, being alike is transitive, a stretch is a run, and an open one is a single row: two rows
+a task. Below it an open stretch keeps an item for each change of label.
 """
 
 from __future__ import annotations
@@ -15,18 +21,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from segloom.functions.spelling import Vocabulary
+from segloom.functions.spelling import Vocabulary, edits, fold
 from segloom.operators.ordered import in_order
 from segloom.session import durable
 
-RUNS = (
-    "entity string, first_id long, last_id long, events long, start_ms long, end_ms long, last_end_ms long, "
-    "first_label string, last_label string, label string, at int, place long, open boolean"
-)
-#: Of two events of one meaning: spelled alike, spelled differently.
-ALIKE, VARIANT = 1.0, 0.9
+RUNS = "entity string, first_id long, last_id long, events long, start_ms long, end_ms long, last_end_ms long, label string, labels array<string>, at int, place long, stretch long, open boolean"
+_NAMES = [x.split()[0] for x in RUNS.split(", ")]
+#: Of two events of one meaning: spelled alike, spelled differently; other labels are at most as alike as NEAR.
+ALIKE, VARIANT, NEAR = 1.0, 0.9, 0.8
 
 
 @dataclass(frozen=True)
@@ -36,108 +41,213 @@ class Limits:
     similarity: float = VARIANT
     gap_ms: int | None = None
 
+    def __post_init__(self):
+        if not 0 < self.similarity <= ALIKE:
+            raise ValueError("a similarity limit lies above 0 and not above 1")
 
-def label_similarity(vocabulary: Vocabulary, a: str | None, b: str | None) -> float:
-    """1 for the same spelling, 0.9 for two spellings of one canonical name, else 0; null is like nothing.
 
-    A label outside the vocabulary is like itself only.
+def label_similarity(vocabulary: Vocabulary, a: str | None, b: str | None) -> float:
+    """1 for the same spelling, 0.9 for two spellings of one canonical name; else 0.8 of the share of letters in common places
+    (1 less edits by length); null is like nothing.
     """
     if a is None or b is None:
         return 0.0
     if a == b:
         return ALIKE
     name = vocabulary.canonical(a)
-    return VARIANT if name is not None and name == vocabulary.canonical(b) else 0.0
+    if name is not None and name == vocabulary.canonical(b):
+        return VARIANT
+    x, y = fold(a), fold(b)
+    longer = max(len(x), len(y))
+    return NEAR * (1 - edits(x, y, longer) / longer) if longer else 0.0
+
+
+class Likeness:
+    """Remembers the similarity of labels; of two runs it is that of their least similar labels."""
 
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary, self.known = vocabulary, {}
 
-def agglomerate(links: np.ndarray, limit: float) -> np.ndarray:
-    """The run number of each of the ``len(links) + 1`` events; links: similarity of each event and the next, -1 barred.
+    def of(self, a: str | None, b: str | None) -> float:
+        if a == b and a is not None:
+            return ALIKE
+        got = self.known.get((a, b))
+        if got is None:
+            if len(self.known) > 500_000:
+                self.known.clear()
+            got = self.known[a, b] = self.known[b, a] = label_similarity(self.vocabulary, a, b)
+        return got
 
-    ``heads`` and ``tails`` are the linked list of runs: the run that ends at an event, the run that starts there.
+    def runs(self, one: list, two: list) -> float:
+        return min(self.of(a, b) for a in one for b in two)
+
+
+def agglomerate(labels: list[list], likeness: Likeness, limit: float) -> list[int]:
+    """The run number of each item of a stretch; ``labels`` holds those of each item.
+
+    ``after`` and ``before`` are the linked list of runs by their first item; an entry of the queue is stale once either
+    of its runs has changed. Ties go to the earlier place.
     """
-    n = len(links) + 1
-    heads, tails = np.arange(n), np.arange(n)
-    queue = [(-links[i], int(i)) for i in np.flatnonzero(links >= limit)]
-    heapq.heapify(queue)
+    n = len(labels)
+    held = [list(dict.fromkeys(x)) for x in labels]
+    before, after = [i - 1 for i in range(n)], [i + 1 for i in range(n)]
+    version, alive = [0] * n, [True] * n
+    queue: list[tuple] = []
+
+    def offer(i: int) -> None:
+        j = after[i]
+        if j < n and (like := likeness.runs(held[i], held[j])) >= limit:
+            heapq.heappush(queue, (-like, i, j, version[i], version[j]))
+
+    for i in range(n - 1):
+        offer(i)
     while queue:
-        _, i = heapq.heappop(queue)
-        left, right = heads[i], tails[i + 1]
-        heads[right], tails[left] = left, right
-    starts = np.zeros(n, bool)
-    at = 0
-    while at < n:
-        starts[at] = True
-        at = tails[at] + 1
-    return np.cumsum(starts) - 1
-
-
-def _collapse(vocabulary: Vocabulary, limits: Limits, entity, label, start, end, first_id, last_id, last_end, last_label, events, ends_open):
-    """Runs of items in order; an item is an event or an open run. Returns a list of tuples as in RUNS, without place."""
+        _, i, j, v, w = heapq.heappop(queue)
+        if not (alive[i] and alive[j] and version[i] == v and version[j] == w):
+            continue
+        held[i] += [x for x in held[j] if x not in held[i]]
+        alive[j] = False
+        version[i] += 1
+        after[i] = after[j]
+        if after[i] < n:
+            before[after[i]] = i
+        if before[i] >= 0:
+            offer(before[i])
+        offer(i)
+    return (np.cumsum(alive) - 1).tolist()
+
+
+class _Item:
+    """Consecutive events of one label (or of a run already made)."""
+
+    __slots__ = ("end", "entity", "events", "first", "labels", "last", "last_end", "start")
+
+    def __init__(self, entity, first, last, events, start, end, last_end, labels):
+        self.entity, self.first, self.last, self.events = entity, first, last, events
+        self.start, self.end, self.last_end, self.labels = start, end, last_end, labels
+
+    def add(self, other: _Item) -> None:
+        self.last, self.events, self.last_end = other.last, self.events + other.events, other.last_end
+        self.end = max(self.end, other.end)
+        self.labels = self.labels if other.labels == self.labels else list(dict.fromkeys(self.labels + other.labels))
+
+
+class _Collapse:
+    """Takes items in order and gives the runs of every stretch that has ended."""
+
+    def __init__(self, vocabulary: Vocabulary, limits: Limits, edges: bool):
+        self.likeness, self.limits, self.edges = Likeness(vocabulary), limits, edges
+        self.vocabulary, self.whole = vocabulary, limits.similarity >= VARIANT
+        self.stretch: list[_Item] = []
+        self.first = True
+        self.out: list[tuple] = []
+        self.place = self.stretches = 0
+
+    def follows(self, a: _Item, b: _Item) -> bool:
+        near = self.limits.gap_ms is None or b.start - a.last_end <= self.limits.gap_ms
+        return near and a.entity == b.entity and self.likeness.runs(a.labels, b.labels) >= self.limits.similarity
+
+    def take(self, item: _Item) -> None:
+        last = self.stretch[-1] if self.stretch else None
+        if last is None or not self.follows(last, item):
+            self.end(False)
+            self.stretch = [item]
+        elif self.whole or (last.labels == item.labels and len(item.labels) == 1):
+            last.add(item)
+        else:
+            self.stretch.append(item)
+
+    def end(self, final: bool) -> None:
+        if not self.stretch:
+            return
+        held = self.edges and (self.first or final)
+        items, self.stretch, self.first = self.stretch, [], False
+        if not held and len(items) > 1:
+            number = agglomerate([i.labels for i in items], self.likeness, self.limits.similarity)
+            runs: list[_Item] = []
+            for k, item in zip(number, items):
+                if k < len(runs):
+                    runs[k].add(item)
+                else:
+                    runs.append(item)
+            items = runs
+        for i in items:
+            label = i.labels[0]
+            name = None if label is None else self.vocabulary.canonical(label) or label
+            self.out.append((i.entity, i.first, i.last, i.events, i.start, i.end, i.last_end, name, i.labels, self.place, self.stretches, held))
+            self.place += 1
+        self.stretches += 1
+
+
+def _batch(rows: list[tuple], part: int) -> pa.RecordBatch:
+    c = list(zip(*rows))
+    kinds = [pa.string(), *[pa.int64()] * 6, pa.string(), pa.list_(pa.string())]
+    columns = [pa.array(x, k) for x, k in zip(c[:9], kinds)]
+    return pa.record_batch([*columns, pa.array([part] * len(rows), pa.int32()), pa.array(c[9], pa.int64()), pa.array(c[10], pa.int64()), pa.array(c[11], pa.bool_())], _NAMES)
+
+
+def _emitted(collapse: _Collapse, part: int, final: bool = False) -> Iterator[pa.RecordBatch]:
+    if final:
+        collapse.end(True)
+    if len(collapse.out) > 10_000 or (final and collapse.out):
+        yield _batch(collapse.out, part)
+        collapse.out.clear()
+
+
+def _heads(entity: pa.Array, label: pa.Array, start: np.ndarray, end: np.ndarray, gap: int | None) -> np.ndarray:
+    """Rows of a batch at which the entity or the label changes or the gap is too long."""
     n = len(entity)
-    links = np.full(n - 1, -1.0)
-    for i in range(n - 1):
-        a = last_label[i]
-        if a is not None and entity[i] == entity[i + 1] and (limits.gap_ms is None or start[i + 1] - last_end[i] <= limits.gap_ms):
-            links[i] = ALIKE if a == label[i + 1] else label_similarity(vocabulary, a, label[i + 1])
-    runs = agglomerate(links, limits.similarity)
-    cut = np.flatnonzero(runs[1:] != runs[:-1]) + 1
-    out = []
-    for k, (a, b) in enumerate(zip([0, *cut.tolist()], [*cut.tolist(), n])):
-        name = None if label[a] is None else vocabulary.canonical(label[a]) or label[a]
-        out.append(
-            (
-                entity[a], first_id[a], last_id[b - 1], int(sum(events[a:b])), start[a], max(end[a:b]), last_end[b - 1],
-                label[a], last_label[b - 1], name, k, bool(ends_open and (a == 0 or b == n)),
-            )
-        )
-    return out
+    same = np.zeros(n, bool)
+    if n > 1:
+        equal = lambda x: np.asarray(pc.fill_null(pc.equal(x.slice(1), x.slice(0, n - 1)), False))
+        same[1:] = equal(entity) & equal(label)
+        if gap is not None:
+            same[1:] &= start[1:] - end[:-1] <= gap
+    return np.flatnonzero(~same)
 
 
 def _block(entries: dict[str, str], limits: Limits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        kept = [b for b in batches if b.num_rows]
-        if not kept:
-            return
-        t = pa.Table.from_batches(kept)
-        entity, ids = t.column("entity").to_pylist(), t.column("id").to_numpy()
-        fresh = np.ones(len(ids), bool)  # an id that was delivered again is next to itself
-        fresh[1:] = ids[1:] != ids[:-1]
-        if not fresh.all():
-            t = t.filter(pa.array(fresh))
-            entity, ids = t.column("entity").to_pylist(), t.column("id").to_numpy()
-        label, start, end = (t.column(c).to_pylist() for c in ("label", "start_ms", "end_ms"))
-        ids = ids.tolist()
-        rows = _collapse(Vocabulary(entries), limits, entity, label, start, end, ids, ids, end, label, [1] * len(ids), True)
-        yield _batch(rows, part)
+        part, last = TaskContext.get().partitionId(), None
+        collapse = _Collapse(Vocabulary(entries), limits, True)
+        for batch in batches:
+            ids = batch.column(1).to_numpy(zero_copy_only=False)
+            fresh = np.ones(len(ids), bool)  # an id that was delivered again is next to itself
+            fresh[1:] = ids[1:] != ids[:-1]
+            if len(ids):
+                fresh[0], last = last is None or ids[0] != last, ids[-1]
+            if not fresh.all():
+                batch = pa.Table.from_batches([batch]).filter(pa.array(fresh)).combine_chunks()
+                batch = batch.to_batches()[0] if batch.num_rows else None
+            if batch is None or not batch.num_rows:
+                continue
+            entity, label = batch.column(0), batch.column(2)
+            ids, start, end = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 3, 4))
+            heads = _heads(entity, label, start, end, limits.gap_ms)
+            tails = np.append(heads[1:], len(ids)) - 1
+            top = np.maximum.reduceat(end, heads)
+            columns = (entity.take(pa.array(heads)).to_pylist(), ids[heads].tolist(), ids[tails].tolist(), (tails - heads + 1).tolist(), start[heads].tolist(), top.tolist(), end[tails].tolist())
+            for e, a, b, n, s, d, ld, name in zip(*columns, label.take(pa.array(heads)).to_pylist()):
+                collapse.take(_Item(e, a, b, n, s, d, ld, [name]))
+            yield from _emitted(collapse, part)
+        yield from _emitted(collapse, part, True)
 
     return run
 
 
-def _batch(rows: list[tuple], part: int) -> pa.RecordBatch:
-    c = list(zip(*rows))
-    kinds = [pa.string(), *[pa.int64()] * 6, *[pa.string()] * 3]
-    columns = [pa.array(x, k) for x, k in zip(c[:10], kinds)]
-    columns += [pa.array([part] * len(rows), pa.int32()), pa.array(c[10], pa.int64()), pa.array(c[11], pa.bool_())]
-    return pa.record_batch(columns, [x.split()[0] for x in RUNS.split(", ")])
-
-
 def _join_open(entries: dict[str, str], limits: Limits):
-    def run(frames):
-        import pandas as pd
-
-        f = pd.concat([pd.DataFrame(), *frames])
-        if not len(f):
-            return
-        f = f.sort_values(["at", "place"])
-        columns = (f[c].tolist() for c in ("entity", "first_label", "start_ms", "end_ms", "first_id", "last_id", "last_end_ms", "last_label", "events"))
-        e, lab, s, d, a, b, le, ll, n = columns
-        none = lambda x: [None if v is None or v != v else v for v in x]
-        rows = _collapse(Vocabulary(entries), limits, e, none(lab), s, d, a, b, le, none(ll), n, False)
-        out = pd.DataFrame(rows, columns=[x.split()[0] for x in RUNS.split(", ") if x.split()[0] != "at"])
-        yield out.assign(at=0)[[x.split()[0] for x in RUNS.split(", ")]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        collapse, last = _Collapse(Vocabulary(entries), limits, False), (None, None)
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["at"] == last[0] and r["stretch"] != last[1]:
+                    collapse.end(False)  # other stretches of the task lie between
+                last = r["at"], r["stretch"]
+                collapse.take(_Item(r["entity"], r["first_id"], r["last_id"], r["events"], r["start_ms"], r["end_ms"], r["last_end_ms"], r["labels"]))
+            yield from _emitted(collapse, 0)
+        yield from _emitted(collapse, 0, True)
 
     return run
 
@@ -150,6 +260,6 @@ def collapse_runs(events: DataFrame, entries: dict[str, str], limits: Limits = L
     """
     rows = events.filter("entity is not null").select("entity", "id", "label", "start_ms", "end_ms")
     runs = durable(in_order(rows, "entity", "start_ms", "id").mapInArrow(_block(entries, limits), RUNS))
-    joined = runs.filter("open").repartition(1).mapInPandas(_join_open(entries, limits), RUNS)  # two rows a task
+    edges = runs.filter("open").repartition(1).sortWithinPartitions("at", "place")  # two rows a task
     keep = ["entity", "first_id", "last_id", "events", "start_ms", "end_ms", "label"]
-    return runs.filter("not open").select(keep).unionByName(joined.select(keep))
+    return runs.filter("not open").select(keep).unionByName(edges.mapInArrow(_join_open(entries, limits), RUNS).select(keep))
