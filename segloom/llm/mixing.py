@@ -5,8 +5,10 @@ balanced, so the weights sum to 1 at any time, and over the whole time the sourc
 is ``T w (t + a (t^2 - t))``; a record that stands at c tokens of its source's order is needed at the time where the
 demand is c, found by solving the quadratic. The order within a source is by a hash of id and pass, its running sum is
 made by ranges of that order: sums within a task, then one offset per task and source. The mix is range-sorted by time.
-Records are used as long as they end within the demand; what then is missing is filled by single records further on in
-the order, the largest that fits again and again, so a source of a few long records keeps its share, too.
+Records are used as long as they end within the demand; what then is missing, less than the next record, is filled by
+records further on in the order, the largest that fits again and again until none does: their sizes are counted, and the
+counts of the sizes that fit (fewer than the missing tokens) decide it in one step. They follow the others in the order,
+so their time is that of the demand they fill, too.
 
 The total T is the largest at which every source can have its share with no record used more than its source allows.
 """
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 from segloom.operators.ordered import in_order
 from segloom.session import durable, partitions
 
-#: Targets beyond this number are an error; records a source that may fill a rest.
-MOST_SOURCES, FILLERS = 10_000, 6
+#: Targets beyond this number are an error.
+MOST_SOURCES = 10_000
 _SUMMED = "source string, pass int, doc_id long, tokens long, upto long, part int"
 
 
@@ -85,16 +87,21 @@ def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
-    source, total = None, 0
+    last, held = None, 0
     for batch in batches:
-        sources, sizes = batch.column("source").to_pylist(), batch.column("tokens").to_pylist()
-        upto = []
-        for s, n in zip(sources, sizes):
-            total = (total if s == source else 0) + n
-            source = s
-            upto.append(total)
+        n = batch.num_rows
+        if not n:
+            continue
+        names = batch.column("source").dictionary_encode()
+        codes = np.asarray(names.indices)
+        total = np.cumsum(np.asarray(batch.column("tokens")))
+        starts = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+        before = np.concatenate(([0], total))[starts]
+        before[0] -= held if names[0].as_py() == last else 0
+        upto = total - np.repeat(before, np.diff(np.append(starts, n)))
+        last, held = names[n - 1].as_py(), int(upto[-1])
         yield pa.record_batch(
-            [batch.column("source"), batch.column("pass"), batch.column("doc_id"), batch.column("tokens"), pa.array(upto, pa.int64()), pa.array([part] * len(upto), pa.int32())],
+            [*(batch.column(c) for c in ("source", "pass", "doc_id", "tokens")), pa.array(upto, pa.int64()), pa.array(np.full(n, part, np.int32))],
             ["source", "pass", "doc_id", "tokens", "upto", "part"],
         )
 
@@ -115,27 +122,37 @@ def supplies(sizes: DataFrame, targets: DataFrame) -> dict[str, tuple[int, int]]
     return {r.source: (r.t, r.n) for r in rows}
 
 
+def fill(room: int, counts: dict[int, int]) -> list[tuple[int, int]]:
+    """``(size, records)`` that fill the room: the largest that fits, again and again. counts: records of each size."""
+    out = []
+    for size in sorted(counts, reverse=True):
+        n = min(counts[size], room // size)
+        if n:
+            out.append((size, n))
+            room -= n * size
+    return out
+
+
 def _fillers(located: DataFrame, plans: list[Plan]) -> DataFrame:
-    """``source, doc_id, pass, filler``: up to FILLERS records a source that fill what the records within its demand leave."""
+    """``source, doc_id, pass, tokens, end`` of the records that fill what those within the demand leave; see ``fill``."""
     spark = located.sparkSession
     reached = {r.source: r.n for r in located.filter("within").groupBy("source").agg(F.max("end").alias("n")).collect()}
-    room = {p.source: int(p.demand - reached.get(p.source, 0)) for p in plans}
-    chosen: list[tuple[str, int, int]] = []
-    for _ in range(FILLERS):
-        open_ = [(s, n) for s, n in room.items() if n > 0]
-        if not open_:
-            break
-        taken = F.broadcast(spark.createDataFrame(chosen, "source string, doc_id long, pass int"))
-        left = located.filter("not within and tokens > 0").join(F.broadcast(spark.createDataFrame(open_, "source string, room long")), "source").filter("tokens <= room")
-        best = F.max(F.struct("tokens", "end", "doc_id", "pass")).alias("m")
-        found = left.join(taken, ["source", "doc_id", "pass"], "left_anti").groupBy("source").agg(best).collect()  # a row a source
-        if not found:
-            break
-        for r in found:
-            chosen.append((r.source, r.m.doc_id, r.m["pass"]))
-            room[r.source] -= r.m.tokens
-        room = {r.source: room[r.source] for r in found}
-    return spark.createDataFrame([(*c, True) for c in chosen], "source string, doc_id long, pass int, filler boolean")
+    room = [(p.source, n) for p in plans if (n := int(p.demand - reached.get(p.source, 0))) > 0]
+    rest = located.filter("not within and tokens > 0").join(F.broadcast(spark.createDataFrame(room, "source string, room long")), "source").filter("tokens <= room")
+    counts: dict[str, dict[int, int]] = {}
+    for r in rest.groupBy("source", "tokens").agg(F.count("*").alias("n")).collect():  # a row a size that fits
+        counts.setdefault(r.source, {})[r.tokens] = r.n
+    chosen = []
+    for source, n in room:
+        at = reached.get(source, 0)
+        for size, records in fill(n, counts.get(source, {})):
+            chosen.append((source, size, records, at))
+            at += records * size
+    picks = F.broadcast(spark.createDataFrame(chosen, "source string, tokens long, records long, at long"))
+    most = max((c[2] for c in chosen), default=0)
+    nth = F.row_number().over(Window.partitionBy("source", "tokens").orderBy("end"))
+    few = located.filter("not within").join(picks, ["source", "tokens"]).withColumn("nth", nth).filter((F.col("nth") <= most) & (F.col("nth") <= F.col("records")))
+    return few.select("source", "doc_id", "pass", "tokens", "demand", "tilt", (F.col("at") + F.col("nth") * F.col("tokens")).alias("end"))
 
 
 def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None, strength: float = 0.5) -> DataFrame:
@@ -143,7 +160,7 @@ def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None, strength
 
     sizes: ``doc_id, source, tokens``; targets: ``source, target_share, max_repeats``, a small table whose size is
     checked. Records of sources without a target (or of none) aren't used. A source stays below its demand by less than
-    any of its records that are left, or after FILLERS of them.
+    any of its records that are left.
     """
     wanted = targets.filter("source is not null").select("source", "target_share", "max_repeats").limit(MOST_SOURCES + 1).collect()
     if len(wanted) > MOST_SOURCES:
@@ -171,14 +188,10 @@ def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None, strength
         .withColumn("end", F.col("ahead") + F.col("upto"))
         .withColumn("within", F.col("end") <= F.col("demand"))
     )
-    fillers = _fillers(located, plans)
-    # A filler has its time by a hash: it stands outside the order that the demand is counted in.
-    chance = F.pmod(F.xxhash64("doc_id", "pass", F.lit(1)), F.lit(1_000_000)) / 1_000_000
-    middle = (F.col("end") - F.col("tokens") / 2) / F.col("demand")
+    keep = ["source", "doc_id", "pass", "tokens", "demand", "tilt", "end"]
+    used = located.filter("within").select(keep).unionByName(_fillers(located, plans).select(keep))
     return (
-        located.join(F.broadcast(fillers), ["source", "doc_id", "pass"], "left")
-        .filter(F.col("within") | F.col("filler"))
-        .withColumn("u", F.when(F.col("within"), middle).otherwise(chance))
+        used.withColumn("u", (F.col("end") - F.col("tokens") / 2) / F.col("demand"))
         .select("source", "doc_id", "pass", "tokens", "u", "tilt")
         .mapInArrow(_place, "position double, source string, doc_id long, pass int, tokens long")
         .repartitionByRange(partitions(spark), "position", "doc_id")
@@ -186,6 +199,25 @@ def mix(sizes: DataFrame, targets: DataFrame, total: int | None = None, strength
     )
 
 
+def violations(mixed: DataFrame, sizes: DataFrame, targets: DataFrame) -> DataFrame:
+    """``rule, cases``: how often the mix breaks a rule (each has to be 0); no rows for an empty mix."""
+    uses = mixed.groupBy("source", "doc_id").agg(F.count("*").alias("n"), F.countDistinct("pass").alias("m"), F.max("tokens").alias("t"), F.min("tokens").alias("s"))
+    known = sizes.select("doc_id", F.col("source").alias("own"), F.col("tokens").alias("size"))
+    held = uses.join(known, "doc_id", "left").join(F.broadcast(targets.select("source", "max_repeats")), "source", "left")
+    wrong = F.col("own").isNull() | (F.col("own") != F.col("source")) | (F.col("t") != F.col("size")) | (F.col("s") != F.col("size"))
+    by = held.agg(
+        F.count_if(wrong).alias("unlike its record"),
+        F.count_if((F.col("n") > F.col("max_repeats")) | F.col("max_repeats").isNull()).alias("used too often"),
+        F.count_if(F.col("n") != F.col("m")).alias("twice in a pass"),
+        F.count("*").alias("all"),
+    )
+    off = shares(mixed, targets).agg(F.count_if((F.abs(F.col("reached_share") - F.col("target_share")) > 0.02) & (F.col("target_share") > 0)).alias("off its share"))
+    out = mixed.agg(F.count_if(~F.col("position").between(0, 1)).alias("out of time"))
+    row = by.crossJoin(off).crossJoin(out).filter("all > 0")  # one row each
+    names = ["unlike its record", "used too often", "twice in a pass", "off its share", "out of time"]
+    return row.select(F.explode(F.array(*(F.struct(F.lit(n).alias("rule"), F.col(f"`{n}`").alias("cases")) for n in names))).alias("x")).select("x.rule", "x.cases")
+
+
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """``source, target_share, tokens, reached_share, records, most_uses`` of every source with a target."""
     uses = mixed.groupBy("source", "doc_id").agg(F.sum("tokens").alias("t"), F.count("*").alias("n"))

@@ -195,6 +195,20 @@ def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(_sizes(spark, folder), table(spark, folder, "mix_targets"))
 
 
+def p7_violations(spark: SparkSession, folder: str) -> DataFrame:
+    """How often the packing breaks one of its rules."""
+    sizes, capacities = _sizes(spark, folder), _capacities(spark, folder)
+    if not capacities:
+        return spark.createDataFrame([], "rule string, cases long")
+    return packing.violations(durable(packing.pack(sizes, capacities)), sizes, capacities)
+
+
+def p8_violations(spark: SparkSession, folder: str) -> DataFrame:
+    """How often the mix breaks one of its rules; a share is off if it misses its target by more than 0.02."""
+    sizes, targets = _sizes(spark, folder), table(spark, folder, "mix_targets")
+    return mixing.violations(durable(mixing.mix(sizes, targets)), sizes, targets)
+
+
 def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     """The shares that the mix really reaches."""
     return mixing.shares(p8_mix(spark, folder), table(spark, folder, "mix_targets"))
@@ -203,7 +217,7 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_templates, p2_found, p2_overlaps, p2_clips, p2_near_names, p3_found, p3_runs, p4_found, p4_shares, p4_limits, p4_rules, p7_packed, p7_fill, p8_mix, p8_shares,
+        p1_found, p1_templates, p2_found, p2_overlaps, p2_clips, p2_near_names, p3_found, p3_runs, p4_found, p4_shares, p4_limits, p4_rules, p7_packed, p7_fill, p7_violations, p8_mix, p8_shares, p8_violations,
         p9_found, p9_classes, p9_forms,
     )
 }
@@ -249,7 +263,10 @@ w as (select *, (sum(texts) over (partition by source, variant order by length r
 m as (select source, variant, length, texts, broken from w where texts >= 5 and texts >= 4 * (1 + around) and broken >= 0.5 * texts)"""
 _AT = """z as (select distinct h.output_id from h join m on h.source is not distinct from m.source and h.variant = m.variant
   and h.length between m.length - case when m.variant = 'tokens' then 0 else 3 end and m.length where h.cut)"""
+_NONE = lambda rules: "select * from (values " + ", ".join(f"('{r}', cast(0 as bigint))" for r in rules) + ") v(rule, cases)"
 ORACLE = {
+    "p7_violations": _NONE(["over capacity", "not whole", "split for nothing"]),
+    "p8_violations": _NONE(["unlike its record", "used too often", "twice in a pass", "off its share", "out of time"]),
     "p4_limits": f"with {_LIMITS} select * from m",
     "p4_shares": f"""with {_LIMITS}, {_AT} select source, count(*) as texts, count(*) filter (where cut) as cut, count(z.output_id) as cut_at_limit, count(*) filter (where cut) / count(*) as share
 from c left join z using (output_id) group by source""",

@@ -88,3 +88,28 @@ def test_nothing_to_mix(spark):
     assert {r.tokens for r in mixing.shares(mixing.mix(sizes, targets), targets).collect()} == {0}
     sizes, targets = frames(spark, [(1, "a", 0), (2, "z", 5)])
     assert mixing.mix(sizes, targets).count() == 0
+
+
+def test_filling_against_brute_force():
+    rng = random.Random(2)
+    for _ in range(200):
+        counts = {rng.randint(1, 60): rng.randint(1, 5) for _ in range(rng.randint(0, 8))}
+        room = rng.randint(0, 300)
+        left, pool, want = room, [s for s, n in counts.items() for _ in range(n)], []
+        while any(s <= left for s in pool):
+            s = max(s for s in pool if s <= left)
+            pool.remove(s)
+            want.append(s)
+            left -= s
+        assert [s for s, n in mixing.fill(room, counts) for _ in range(n)] == want
+
+
+def test_any_number_of_fillers(spark):
+    """One long record that doesn't fit leaves room for many short ones; they stand where the demand for them is, at the end."""
+    rows = [(i, "a", 10) for i in range(1000)] + [(5000 + i, "b", 5000) for i in range(1)] + [(6000 + i, "b", 7) for i in range(300)]
+    got = mixing.mix(*frames(spark, rows, [("a", 0.9, 1), ("b", 0.1, 1)])).collect()
+    by = Counter()
+    for r in got:
+        by[r.source] += r.tokens
+    assert abs(by["b"] / sum(by.values()) - 0.1) < 0.002
+    assert len({(r.doc_id, r["pass"]) for r in got}) == len(got)

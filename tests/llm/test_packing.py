@@ -51,3 +51,23 @@ def test_sizes(spark):
     df = spark.createDataFrame([(i, "s", t, 5) for i, t in enumerate(texts)] + [(None, "s", "x", 5), (1, "s", "a b c", 5)], "doc_id long, source string, text string, tokens int")
     got = {r.doc_id: r.tokens for r in sizes(df, RANKS).collect()}
     assert got == {i: len(encoding(RANKS).encode_ordinary(t)) for i, t in enumerate(texts) if t is not None} and got[0] == 0
+
+
+def test_leftovers_go_up_a_tree(spark):
+    rng = random.Random(9)
+    items = {i: rng.randint(1, 90) for i in range(3000)}
+    caps = {"small": 100, "large": 1000}
+    df = spark.createDataFrame(list(items.items()), "doc_id long, tokens long").repartition(4)
+    for taken in (40, 100_000):
+        packed = packing.pack(df, caps, most=32, taken=taken)
+        filled = check(packed.collect(), items, caps)
+        for kind, cap in caps.items():
+            used = [n for (k, _), n in filled.items() if k == kind]
+            assert sum(used) / (cap * len(used)) > 0.9, (taken, kind)
+        assert [r.cases for r in packing.violations(packed, df, caps).collect()] == [0, 0, 0]
+
+
+def test_violations_are_seen(spark):
+    df = spark.createDataFrame([(1, 60), (2, 70), (3, 30)], "doc_id long, tokens long")
+    bad = spark.createDataFrame([("x", "a", 1, 0, 0, 60), ("x", "a", 2, 0, 0, 70), ("x", "b", 4, 0, 0, 5)], "container_kind string, container_id string, doc_id long, piece int, first_token long, tokens long")
+    assert {r.rule: r.cases for r in packing.violations(bad, df, {"x": 100}).collect()} == {"over capacity": 1, "not whole": 2, "split for nothing": 0}
