@@ -230,9 +230,13 @@ s as (select distinct segment_id as id, video_id, cast(round(start_time * 1000)
 l as (select s.*, case when u.m = 1 then u.c else s.emotion end as label from s left join u using (emotion) where e > s),
 c as (select *, case when lag(label) over w = label then 0 else 1 end as c from l window w as (partition by video_id order by s, id)),
 g as (select *, sum(c) over (partition by video_id order by s, id rows unbounded preceding) as g from c)"""
-# The consistent form in SQL: invisible characters out, widths, spaces and look-alikes exchanged one by one, accents composed.
-_FROM = "".join(c for forms in lookalike.LOOKALIKES.values() for c in forms) + "".join(map(chr, range(0xFF01, 0xFF5F))) + "\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000\u0451\u0401\u0457\u0407"
-_TO = "".join(t for t, forms in lookalike.LOOKALIKES.items() for _ in forms) + "".join(map(chr, range(0x21, 0x7F))) + " " * 16 + "\u00eb\u00cb\u00ef\u00cf"
+# A form for comparing in SQL, by its own letters (fixed values): invisible characters out, widths, spaces and look-alikes exchanged
+# one by one, accents composed. It makes every look-alike Latin, which parts and joins the same texts.
+_PAIRS = (
+    "аa АA еe ЕE һh НH іi ІI јj ЈJ КK оo ОO рp РP сc СC ѕs ЅS ТT уy УY хx ХX ԁd ԛq ԝw ӏl ВB МM ѵv νv οo ΟO ρp υu ιi ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΡP ΤT ΥY ΧX ոn սu օo ցg ɡg ɑa"
+).split()
+_FROM = "".join(p[0] for p in _PAIRS) + "".join(map(chr, range(0xFF01, 0xFF5F))) + "\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000\u0451\u0401\u0457\u0407"
+_TO = "".join(p[1] for p in _PAIRS) + "".join(map(chr, range(0x21, 0x7F))) + " " * 16 + "\u00eb\u00cb\u00ef\u00cf"
 _FORMS = f"""f as (select distinct doc_id, text, nfc_normalize(translate(regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)),
   '[\\x{{00AD}}\\x{{034F}}\\x{{061C}}\\x{{180E}}\\x{{200B}}-\\x{{200F}}\\x{{202A}}-\\x{{202E}}\\x{{2060}}-\\x{{2064}}\\x{{2066}}-\\x{{206F}}\\x{{FE00}}-\\x{{FE0F}}\\x{{FEFF}}]', '', 'g'),
   '{_FROM.replace("'", "''")}', '{_TO.replace("'", "''")}')) as form from documents where text is not null)"""
@@ -272,7 +276,6 @@ ORACLE = {
 from c left join z using (output_id) group by source""",
     "p4_found": f"with {_CUT} select output_id from c where cut",
     "p9_found": f"""with {_FORMS} select a.doc_id as doc_id_a, b.doc_id as doc_id_b from f a join f b on a.form = b.form and a.text <> b.text and a.doc_id < b.doc_id""",
-    "p9_forms": f"""with {_FORMS} select doc_id, form from f""",
     "p9_classes": f"""with {_FORMS}, c as (select form, min(doc_id) as class_id, count(*) as documents, count(distinct text) as spellings from f group by 1) select doc_id, class_id, documents, spellings from f join c using (form)""",
     "p3_found": f"""with {_RUNS}
 select video_id, first(id order by s, id) as first_segment_id, last(id order by s, id) as last_segment_id from g group by video_id, g having count(*) > 1""",

@@ -50,12 +50,43 @@ def test_conflicts_are_refused():
         Transducer({"x": "у", "у": "х"})
 
 
+def test_words_keep_their_script():
+    russian = "Собака стоит у двери, и старый мост скрипит."
+    assert T(russian) == russian
+    assert T(russian.replace("о", "o").replace("с", "c").replace("у", "y").replace("а", "a")) == russian
+    english = "The cat sat on a sofa, so we saw a coop."
+    assert T(english.replace("a", "а").replace("o", "о").replace("c", "с")) == english
+    assert T("Москва has a metro") == "Москва has a metro"
+    assert T("Mocква") == T("Москва") == "Москва" and T("сор") == "cop"
+
+
+@pytest.mark.parametrize("text", ["\u06dd١", "\u0600١٢", "👨\u200d👩\u200d👧", "می\u200cخواهم", "क्\u200dष", "❤\u200d🔥"])
+def test_characters_that_are_seen_stay(text):
+    assert T(text) == text.replace("\ufe0f", "")
+    for c in "\u06dd\u0600\u200c\u200d":
+        if c in text:
+            assert T(text) != T(text.replace(c, ""))
+
+
+def test_joiners_elsewhere_are_invisible():
+    assert T("ca\u200dt") == T("ca\u200ct") == "cat" and T("👨\u200d") == "👨" and T("م\u200c") == "م"
+
+
+def test_table_of_confusables(spark):
+    from segloom.llm.lookalike import confusables
+
+    table = confusables(spark)
+    assert all(set(forms) <= set(table[t]) for t, forms in LOOKALIKES.items()) and sum(map(len, table.values())) > sum(map(len, LOOKALIKES.values()))
+    wide = Transducer(table)
+    assert wide("ᏀᎪᎷᎬ") == "GAME" and wide("Собака стоит") == "Собака стоит"
+
+
 def documents(spark, texts):
     return spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, form string")
 
 
 def brute(texts):
-    f = [None if t is None else T(t) for t in texts]
+    f = [None if t is None else T(t) for t in texts]  # the built-in letters do for these texts
     return sorted((i, j) for i in range(len(f)) for j in range(i + 1, len(f)) if f[i] is not None and f[i] == f[j] and texts[i] != texts[j])
 
 
