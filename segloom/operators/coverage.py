@@ -13,15 +13,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from segloom.operators.intervals import collapse
-from segloom.session import durable, partitions
+from segloom.operators.ordered import ranges
+from segloom.session import durable
 
 _PARTIAL = "entity string, start_ms long, end_ms long"
-_LISTS = "part int, entity string, nth long, start_ms long, end_ms long, next_start long, edge boolean, last boolean"
+_LISTS = "part int, entity string, nth long, start_ms long, end_ms long, next_start long, last boolean"
 
 
 def usable(df: DataFrame, entity: str, start: str, end: str) -> DataFrame:
@@ -38,8 +38,11 @@ def usable(df: DataFrame, entity: str, start: str, end: str) -> DataFrame:
     )
 
 
-def _sorted(batches: list[pa.RecordBatch]) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    t = pa.Table.from_batches(batches)
+#: Rows that a scan task folds at a time.
+FOLDED = 1_000_000
+
+
+def _columns(t: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     names = t.column("entity").combine_chunks().dictionary_encode()
     names = names.combine_chunks() if isinstance(names, pa.ChunkedArray) else names
     codes = names.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -47,50 +50,65 @@ def _sorted(batches: list[pa.RecordBatch]) -> tuple[pa.Array, np.ndarray, np.nda
 
 
 def _partial_lists(slack: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [b for b in batches if b.num_rows]
-        if not kept:
-            return
-        names, codes, starts, ends = _sorted(kept)
+    def fold(t: pa.Table) -> pa.RecordBatch:
+        names, codes, starts, ends = _columns(t)
         order = np.lexsort((starts, codes))
         codes, starts, ends = collapse(codes[order], starts[order], ends[order], slack)
-        yield pa.record_batch(
-            [names.take(pa.array(codes)).cast(pa.string()), pa.array(starts), pa.array(ends)], ["entity", "start_ms", "end_ms"]
-        )
+        return pa.record_batch([names.take(pa.array(codes)).cast(pa.string()), pa.array(starts), pa.array(ends)], ["entity", "start_ms", "end_ms"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, rows = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                kept.append(batch)
+                rows += batch.num_rows
+            if rows >= FOLDED:
+                yield fold(pa.Table.from_batches(kept))
+                kept, rows = [], 0
+        if kept:
+            yield fold(pa.Table.from_batches(kept))
 
     return run
 
 
 def _merged_lists(slack: int):
+    """Linear merge of a range in order, a batch at a time; the last period met is held until what follows it is known."""
+    held_names = ["entity", "start_ms", "end_ms"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        kept = [b for b in batches if b.num_rows]
-        if not kept:
-            return
-        names, codes, starts, ends = _sorted(kept)  # the rows come in order, so codes rise
-        codes, starts, ends = collapse(codes, starts, ends, slack)
-        n = len(codes)
-        last = np.ones(n, bool)
-        last[:-1] = codes[1:] != codes[:-1]
-        first = np.ones(n, bool)
-        first[1:] = last[:-1]
-        at = np.arange(n)
-        nth = at - np.maximum.accumulate(np.where(first, at, 0))
-        after = np.concatenate((starts[1:], [0]))
-        yield pa.record_batch(
-            [
-                pa.array(np.full(n, TaskContext.get().partitionId(), np.int32)),
-                names.take(pa.array(codes)).cast(pa.string()),
-                pa.array(nth),
-                pa.array(starts),
-                pa.array(ends),
-                pa.array(after, mask=last),
-                pa.array((codes == codes[0]) | (codes == codes[-1])),
-                pa.array(last),
-            ],
-            ["part", "entity", "nth", "start_ms", "end_ms", "next_start", "edge", "last"],
-        )
+        part, held, places = TaskContext.get().partitionId(), None, 0
+
+        def out(names, codes, starts, ends, after, nth, last) -> pa.RecordBatch:
+            n = len(codes)
+            return pa.record_batch(
+                [
+                    pa.array(np.full(n, part, np.int32)), names.take(pa.array(codes)).cast(pa.string()), pa.array(nth), pa.array(starts), pa.array(ends),
+                    pa.array(after, mask=last), pa.array(last),
+                ],
+                ["part", "entity", "nth", "start_ms", "end_ms", "next_start", "last"],
+            )
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch.select(held_names)])
+            t = t if held is None else pa.concat_tables([held, t])
+            names, codes, starts, ends = _columns(t)  # the rows come in order, so codes rise
+            codes, starts, ends = collapse(codes, starts, ends, slack)
+            n = len(codes)
+            first = np.concatenate(([True], codes[1:] != codes[:-1]))
+            at = np.arange(n)
+            nth = at - np.maximum.accumulate(np.where(first, at, 0)) + np.where(codes == codes[0], places, 0)
+            if n > 1:
+                last = codes[1:] != codes[:-1]
+                yield out(names, codes[:-1], starts[:-1], ends[:-1], starts[1:], nth[:-1], last)
+            places = int(nth[-1])
+            held = pa.table([names.take(pa.array(codes[-1:])).cast(t.schema.field("entity").type), pa.array(starts[-1:]), pa.array(ends[-1:])], held_names)
+        if held is not None:
+            names, codes, starts, ends = _columns(held)
+            yield out(names, codes, starts, ends, np.zeros(1, np.int64), np.array([places]), np.array([True]))
 
     return run
 
@@ -119,13 +137,15 @@ def periods(intervals: DataFrame, slack_ms: int) -> DataFrame:
     intervals: ``entity, start_ms, end_ms`` as ``usable`` gives them; holes of at most ``slack_ms`` are bridged. An
     empty table gives none; repeated rows change nothing; ``next_start`` is null for the last period of an entity.
     """
-    spark = intervals.sparkSession
     lists = durable(
         intervals.mapInArrow(_partial_lists(slack_ms), _PARTIAL)
-        .repartitionByRange(partitions(spark), "entity", "start_ms")
+        .repartitionByRange(ranges(intervals), "entity", "start_ms")
         .sortWithinPartitions("entity", "start_ms")
         .mapInArrow(_merged_lists(slack_ms), _LISTS)
     )
+    # The first and the last entity of each task, a row a task.
+    outer = lists.groupBy("part").agg(F.min("entity").alias("low"), F.max("entity").alias("high"))
+    lists = lists.join(F.broadcast(outer), "part").withColumn("edge", (F.col("entity") == F.col("low")) | (F.col("entity") == F.col("high")))
     inner = lists.filter("not edge").select("entity", "start_ms", "end_ms", "next_start", (F.col("nth") == 0).alias("first"))
     edge = lists.filter("edge")
     # At most two rows a task, whatever the data: safe to broadcast.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from segloom.operators import sampling as sm
 from segloom.session import table
 
-SEED = 20260907
+SEED = 41
 
 
 def _docs(spark: SparkSession, folder: str) -> DataFrame:

@@ -39,14 +39,19 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint: files in the folder that all executors share.
 
     The cluster names that folder in ``spark.checkpoint.dir``; only where neither it nor an earlier
-    ``setCheckpointDir`` is present, as in tests, a temporary local folder is set.
+    ``setCheckpointDir`` is present, and all runs on one machine, as in tests, a temporary local folder is set. A cluster
+    that names none is an error: its executors don't share a machine's folder.
     """
     spark = df.sparkSession
+    ship(spark)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="segloom-checkpoint-")
-        )
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="segloom-checkpoint-")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
