@@ -41,6 +41,20 @@ def mcnemar(b: Column, c: Column) -> Column:
     return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 
+def binomial_upper(k: Column, n: Column, p: float) -> Column:
+    """Exact probability of k or more of n at a rate of p; null for n = 0."""
+    import math
+
+    odds = p / (1 - p)
+    first = F.exp(log_choose(n, k) + k * math.log(p) + (n - k) * math.log(1 - p))
+    start = F.struct(first.alias("term"), F.lit(0.0).alias("sum"))
+
+    def step(acc: Column, i: Column) -> Column:
+        return F.struct((acc["term"] * (n - i) / (i + 1) * odds).alias("term"), (acc["sum"] + acc["term"]).alias("sum"))
+
+    return F.when(n > 0, F.least(F.lit(1.0), F.aggregate(F.sequence(k.cast("long"), n.cast("long")), start, step, lambda acc: acc["sum"])))
+
+
 def within(low: Column, high: Column, margin: float) -> Column:
     """Practical equivalence: the interval lies within plus or minus the margin."""
     return (low > -margin) & (high < margin)

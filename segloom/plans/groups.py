@@ -270,28 +270,6 @@ def off_policy(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("masked").agg(F.count("*").alias("n"))
 
 
-def bootstrap(spark: SparkSession, folder: str) -> DataFrame:
-    """Percentile interval of a ratio of sums over suppliers, 500 repetitions of Poisson resampling by seeded hashes.
-
-    Each supplier's weight in a repetition depends on its key only, so the rows are summed where they lie: nothing is
-    collected, and any number of suppliers does.
-    """
-    by = table(spark, folder, "lineitem").groupBy("l_suppkey").agg(F.count_if(F.col("l_returnflag") == "R").alias("k"), F.count("*").alias("n"))
-    u = (F.pmod(F.xxhash64("l_suppkey", "rep", F.lit(20260907)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    edges, p, c = [], 1.0, 0.0
-    import math
-
-    for i in range(8):
-        p = math.exp(-1) / math.factorial(i)
-        c += p
-        edges.append(c)
-    weight = sum((F.when(u > e, 1).otherwise(0) for e in edges[1:]), F.when(u > edges[0], 1).otherwise(0))
-    reps = by.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(500)))).withColumn("w", weight)
-    stat = reps.groupBy("rep").agg((F.sum(F.col("k") * F.col("w")) / F.sum(F.col("n") * F.col("w"))).alias("x"))
-    total = by.agg((F.sum("k") / F.sum("n")).alias("estimate"))
-    return stat.agg(six(F.percentile("x", 0.025)).alias("low"), six(F.percentile("x", 0.975)).alias("high"), F.count("*").alias("repetitions")).join(F.broadcast(total)).withColumn("estimate", six("estimate"))
-
-
 def chunk_metrics(spark: SparkSession, folder: str) -> DataFrame:
     """Chunks (ship modes of lines by flag and status) merged: a size-weighted and an unweighted mean, extremes."""
     by = table(spark, folder, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("size"), F.avg("l_discount").alias("v"), F.min("l_tax").alias("a"), F.max("l_tax").alias("b"))
@@ -383,6 +361,6 @@ QUERIES = {
     for f in (
         adv_group, adv_leave_one_out, adv_batch_scaled, adv_whitened, adv_per_reward, adv_per_request, reward_groups, reward_columns, varied_groups, best_of_n, minmax, rotated,
         early_stop, pair_scores, pair_correlation, pair_losses, batch_margin, ranking, marked_groups, wilson_rates, paired_tests, label_events, smoothing, softmax_entropy,
-        importance, off_policy, bootstrap, chunk_metrics,
+        importance, off_policy, chunk_metrics,
     )
 }

@@ -10,11 +10,12 @@ from segloom.operators import segments as sg
 from segloom.operators.ordered import scan
 from segloom.plans import problems
 from segloom.plans.base import GT, PRED, SEG, gt, pred, seg
-from segloom.session import table
+from segloom.session import durable, table
 
 THRESHOLDS = (0.3, 0.5, 0.7, 0.9)
 #: Width of the time buckets of interval joins, in milliseconds.
 BUCKET = 20_000
+# The labels.
 VOCABULARY = (
     "Awkwardness,Empathic Pain,Fear,Anger,Sadness,Relief,Boredom,Joy,Aesthetic Appreciation,Adoration,Admiration,Amusement,Satisfaction,Disgust,"
     "Sexual Desire,Confusion,Romance,Craving,Horror,Excitement,Nostalgia,Awe (or Wonder),Interest,Calmness,Surprise,Entrancement,Anxiety"
@@ -60,28 +61,47 @@ def seg_positional_eval(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+COUNTERS = _PAIRED + """,
+a as (select entity, count(*) as gt from gt group by 1), b as (select entity, count(*) as pred from pred group by 1),
+k as (select entity, count(*) as pairs, sum(iou) as iou_sum, count(*) filter (gl is not distinct from pl) as label_correct, count(*) filter (iou >= 0.5) as qualified,
+  count(*) filter (iou >= 0.5 and gl is not distinct from pl) as joint, count(*) filter (iou >= 0.5 and (gl is not distinct from pl or idx % 2 = 0)) as joint_b from pairs group by 1),
+n as (select entity, gt, coalesce(pred, 0) as pred, coalesce(pairs, 0) as pairs, coalesce(iou_sum, 0.0) as iou_sum, coalesce(label_correct, 0) as label_correct, coalesce(qualified, 0) as qualified,
+  coalesce(joint, 0) as joint, coalesce(joint_b, 0) as joint_b, case when gt = coalesce(pred, 0) then 1 else 0 end as count_correct from a left join b using (entity) left join k using (entity))"""
+
+
+def counters(spark: SparkSession, folder: str) -> DataFrame:
+    """Additive counters of each clip with true segments, from one alignment of both sides by place."""
+    g = gt(spark, folder).select("entity", "idx", F.col("s").alias("gs"), F.col("e").alias("ge"), F.col("label").alias("gl"))
+    p = pred(spark, folder).select("entity", "idx", F.col("s").alias("ps"), F.col("e").alias("pe"), F.col("label").alias("pl"))
+    both = F.col("gs").isNotNull() & F.col("ps").isNotNull()
+    rows = g.join(p, ["entity", "idx"], "full").withColumn("iou", F.when(both, iv.iou(F.col("ps"), F.col("pe"), F.col("gs"), F.col("ge"))))
+    rows = rows.withColumn("same", both & F.col("gl").eqNullSafe(F.col("pl"))).withColumn("good", F.col("iou") >= 0.5)
+    by = rows.groupBy("entity").agg(
+        F.count("gs").alias("gt"), F.count("ps").alias("pred"), F.count("iou").alias("pairs"), F.coalesce(F.sum("iou"), F.lit(0.0)).alias("iou_sum"),
+        F.count_if("same").alias("label_correct"), F.count_if("good").alias("qualified"), F.count_if(F.expr("good and same")).alias("joint"),
+        F.count_if(F.col("good") & (F.col("same") | (both & (F.col("idx") % 2 == 0)))).alias("joint_b"),
+    )
+    return by.filter("gt > 0").withColumn("count_correct", (F.col("gt") == F.col("pred")).cast("long"))
+
+
 def seg_eval_per_clip(spark: SparkSession, folder: str) -> DataFrame:
     """Per clip: counts of both sides, mean IoU and label accuracy of the pairs by place; 0 where there are none."""
-    n = lambda df, name: df.groupBy("entity").agg(F.count("*").alias(name))
-    by = _paired(spark, folder).groupBy("entity").agg(
-        six(F.avg("iou")).alias("mean_iou"), six(F.avg((F.col("gl").eqNullSafe(F.col("pl"))).cast("double"))).alias("accuracy")
-    )
-    both = n(gt(spark, folder), "gt").join(n(pred(spark, folder), "pred"), "entity", "left").join(by, "entity", "left")
-    return both.select("entity", "gt", F.coalesce("pred", F.lit(0)).alias("pred"), F.coalesce("mean_iou", F.lit(0.0)).alias("mean_iou"), F.coalesce("accuracy", F.lit(0.0)).alias("accuracy"), (F.col("gt") == F.coalesce("pred", F.lit(0))).alias("count_match"))
+    mean = lambda c: six(iv.safe_ratio(F.col(c), F.col("pairs")))
+    return counters(spark, folder).select("entity", "gt", "pred", mean("iou_sum").alias("mean_iou"), mean("label_correct").alias("accuracy"), (F.col("count_correct") == 1).alias("count_match"))
 
 
 def seg_eval_overall(spark: SparkSession, folder: str) -> DataFrame:
     """Over common clips only and over all clips: pooled means and the share of clips with equal counts."""
-    by = seg_eval_per_clip(spark, folder)
-    pool = _paired(spark, folder).agg(six(F.avg("iou")).alias("micro_iou"), six(F.avg((F.col("gl").eqNullSafe(F.col("pl"))).cast("double"))).alias("micro_accuracy"))
-    rates = by.agg(
+    by = counters(spark, folder)
+    return by.agg(
+        six(F.sum("iou_sum") / F.sum("pairs")).alias("micro_iou"),
+        six(F.sum("label_correct") / F.sum("pairs")).alias("micro_accuracy"),
         F.count("*").alias("clips"),
         F.count_if(F.expr("pred = 0")).alias("missing"),
-        six(F.avg(F.when(F.col("pred") > 0, F.col("count_match").cast("double")))).alias("count_match_common"),
-        six(F.avg(F.col("count_match").cast("double"))).alias("count_match_all"),
-        six(F.avg("mean_iou")).alias("macro_iou"),
+        six(F.avg(F.when(F.col("pred") > 0, F.col("count_correct").cast("double")))).alias("count_match_common"),
+        six(F.avg(F.col("count_correct").cast("double"))).alias("count_match_all"),
+        six(F.avg(six(iv.safe_ratio(F.col("iou_sum"), F.col("pairs"))))).alias("macro_iou"),
     )
-    return pool.join(F.broadcast(rates))  # one row each
 
 
 def _best(spark: SparkSession, folder: str, by: str) -> DataFrame:
@@ -159,26 +179,40 @@ def seg_confusion(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def seg_under_over(spark: SparkSession, folder: str) -> DataFrame:
-    """Clips by number of true segments (up to 20), and in all: fewer, as many, or more predicted; as grouping sets."""
-    by = seg_eval_per_clip(spark, folder).withColumn("gt_count", F.least("gt", F.lit(20)))
+    """Clips by number of true segments, and in all: fewer, as many, or more predicted, and their mean IoU; as grouping sets."""
+    by = counters(spark, folder).withColumnRenamed("gt", "gt_count")
     return by.groupingSets([[F.col("gt_count")], []], "gt_count").agg(
-        F.count("*").alias("clips"), F.count_if(F.expr("pred < gt")).alias("under"), F.count_if(F.expr("pred = gt")).alias("equal"), F.count_if(F.expr("pred > gt")).alias("over")
-    )
+        F.count("*").alias("clips"), F.count_if(F.expr("pred < gt_count")).alias("under"), F.count_if(F.expr("pred = gt_count")).alias("equal"), F.count_if(F.expr("pred > gt_count")).alias("over"),
+        six(iv.safe_ratio(F.sum("iou_sum"), F.sum("pairs"))).alias("mean_iou"),
+    )
 
 
 def seg_sufficient_stats(spark: SparkSession, folder: str) -> DataFrame:
-    """Additive counters per clip and the ratios made of their sums."""
-    rows = _paired(spark, folder).withColumn("same", F.col("gl").eqNullSafe(F.col("pl"))).withColumn("good", F.col("iou") >= 0.5)
-    by = rows.groupBy("entity").agg(
-        F.count("*").alias("pairs"), F.sum("iou").alias("iou_sum"), F.count_if("same").alias("label_correct"), F.count_if("good").alias("qualified"), F.count_if(F.expr("good and same")).alias("joint")
-    )
-    counts = seg_eval_per_clip(spark, folder).select("entity", "gt", "pred").join(by, "entity", "left").fillna(0)
-    t = counts.agg(*(F.sum(c).alias(c) for c in ("gt", "pred", "pairs", "iou_sum", "label_correct", "qualified", "joint")), F.count("*").alias("clips"), F.count_if(F.expr("pred > 0")).alias("valid"))
+    """Additive counters of the clips and the ratios made of their sums."""
+    names = ("gt", "pred", "pairs", "iou_sum", "label_correct", "qualified", "joint", "count_correct")
+    t = counters(spark, folder).agg(*(F.sum(c).alias(c) for c in names), F.count("*").alias("clips"), F.count_if(F.expr("pred > 0")).alias("valid"))
     r = lambda a, b: six(iv.safe_ratio(F.col(a), F.col(b)))
     return t.select(
         "clips", "gt", "pred", "pairs", "qualified", "joint", r("valid", "clips").alias("coverage"), r("iou_sum", "pairs").alias("mean_iou"), r("label_correct", "pairs").alias("label_accuracy"),
         r("joint", "qualified").alias("conditional_accuracy"), r("joint", "gt").alias("recall"), r("joint", "pred").alias("precision"),
         six(iv.safe_ratio(F.lit(2) * F.col("joint"), F.col("pred") + F.col("gt"))).alias("f1"),
+        r("count_correct", "clips").alias("count_accuracy_all"), r("count_correct", "valid").alias("count_accuracy_valid"), r("joint", "pairs").alias("strict_accuracy"), r("iou_sum", "gt").alias("iou_per_gt"),
+    )
+
+
+def seg_evaluator(spark: SparkSession, folder: str) -> DataFrame:
+    """Precision, recall and F1 of a maximum one-to-one matching at an IoU of one half, by label (``tp``) and without (``temporal_tp``)."""
+    p = pred(spark, folder).select("entity", F.col("idx").alias("i"), "s", "e", F.col("label").alias("pl"))
+    g = gt(spark, folder).select("entity", F.col("idx").alias("j"), F.col("s").alias("s2"), F.col("e").alias("e2"), F.col("label").alias("gl"))
+    met = durable(sg.overlapping(p, g, BUCKET).filter(iv.iou(F.col("s"), F.col("e"), F.col("s2"), F.col("e2")) >= 0.5))
+    tp = sg.matched(met.filter(F.col("pl").eqNullSafe(F.col("gl"))).select("entity", "i", "j")).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("tp"))
+    temporal = sg.matched(met.select("entity", "i", "j")).agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("temporal_tp"))
+    sides = [df.agg(F.count("*").alias(n)) for df, n in ((p, "pred"), (g, "gt"))]
+    t = tp.join(F.broadcast(temporal)).join(F.broadcast(sides[0])).join(F.broadcast(sides[1]))  # one row each
+    r = lambda a, b: six(iv.safe_ratio(F.col(a), F.col(b)))
+    return t.select(
+        "tp", "temporal_tp", "pred", "gt", r("tp", "pred").alias("matched_precision"), r("tp", "gt").alias("matched_recall"), r("temporal_tp", "gt").alias("temporal_recall"),
+        six(iv.safe_ratio(2 * F.col("tp"), F.col("pred") + F.col("gt"))).alias("matched_f1"),
     )
 
 
@@ -373,16 +407,16 @@ select label, count(*) as n, round(avg(d), 6) as mean, round(quantile_cont(d, 0.
   row_number() over (partition by coalesce(gl, '?'), coalesce(pl, '?') order by round(iou, 9) desc, entity, idx) as k from pairs where iou >= 0.5),
 n as (select g, p, count(*) as n, string_agg(entity || ':' || idx, ';' order by k) filter (k <= 3) as examples from x group by g, p)
 select g, p, n, round(n / sum(n) over (partition by g), 6) as share, examples from n""",
-    "seg_under_over": f"""with {PRED},
-a as (select entity, count(*) as gt from gt group by entity), b as (select entity, count(*) as pred from pred group by entity),
-x as (select gt, coalesce(pred, 0) as pred, least(gt, 20) as gt_count from a left join b using (entity))
-select gt_count, count(*) as clips, count(*) filter (pred < gt) as under, count(*) filter (pred = gt) as "equal", count(*) filter (pred > gt) as "over" from x group by grouping sets ((gt_count), ())""",
-    "seg_sufficient_stats": f"""with {_PAIRED},
-a as (select count(*) as gt, count(distinct entity) as clips from gt), b as (select count(*) as pred, count(distinct entity) as valid from pred),
-c as (select count(*) as pairs, sum(iou) as iou_sum, count(*) filter (gl is not distinct from pl) as label_correct, count(*) filter (iou >= 0.5) as qualified,
-  count(*) filter (iou >= 0.5 and gl is not distinct from pl) as joint from pairs)
-select clips, gt, pred, pairs, qualified, joint, round(valid / clips, 6) as coverage, round(iou_sum / pairs, 6) as mean_iou, round(label_correct / pairs, 6) as label_accuracy,
-  round(joint / qualified, 6) as conditional_accuracy, round(joint / gt, 6) as recall, round(joint / pred, 6) as precision, round(2 * joint / (pred + gt), 6) as f1 from a cross join b cross join c""",
+    "seg_under_over": f"""with {COUNTERS}
+select gt as gt_count, count(*) as clips, count(*) filter (pred < gt) as under, count(*) filter (pred = gt) as "equal", count(*) filter (pred > gt) as "over",
+  coalesce(round(sum(iou_sum) / nullif(sum(pairs), 0), 6), 0.0) as mean_iou from n group by grouping sets ((gt), ())""",
+    "seg_sufficient_stats": f"""with {COUNTERS},
+t as (select count(*) as clips, count(*) filter (pred > 0) as valid, sum(gt) as gt, sum(pred) as pred, sum(pairs) as pairs, sum(iou_sum) as iou_sum, sum(label_correct) as label_correct,
+  sum(qualified) as qualified, sum(joint) as joint, sum(count_correct) as count_correct from n)
+select clips, cast(gt as bigint) as gt, cast(pred as bigint) as pred, cast(pairs as bigint) as pairs, cast(qualified as bigint) as qualified, cast(joint as bigint) as joint, round(valid / clips, 6) as coverage,
+  round(iou_sum / pairs, 6) as mean_iou, round(label_correct / pairs, 6) as label_accuracy, round(joint / qualified, 6) as conditional_accuracy, round(joint / gt, 6) as recall, round(joint / pred, 6) as precision,
+  round(2 * joint / (pred + gt), 6) as f1, round(count_correct / clips, 6) as count_accuracy_all, round(count_correct / valid, 6) as count_accuracy_valid, round(joint / pairs, 6) as strict_accuracy,
+  round(iou_sum / gt, 6) as iou_per_gt from t""",
     "seg_flags": """with m as (select video_id, max(video_duration) as d from manifest where video_duration > 0 group by video_id),
 r as (select distinct segment_id, video_id, start_time, end_time from segments),
 x as (select r.*, d, start_time is null or end_time is null or isnan(start_time) or isnan(end_time) as lost from r left join m using (video_id))
@@ -460,7 +494,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         seg_islands, seg_positional_eval, seg_eval_per_clip, seg_eval_overall, seg_best_match_iou, seg_best_match_label, seg_snap, seg_transitions, seg_dwell, seg_confusion,
-        seg_under_over, seg_sufficient_stats, seg_matched_f1, seg_flags, seg_tiling, seg_merge_equal, seg_close_gaps, seg_repair_labels, seg_first_fault, seg_iou_scalars,
+        seg_under_over, seg_sufficient_stats, seg_evaluator, seg_matched_f1, seg_flags, seg_tiling, seg_merge_equal, seg_close_gaps, seg_repair_labels, seg_first_fault, seg_iou_scalars,
         seg_frames, seg_subshots, seg_scene_cuts, seg_equal_bins, seg_modes, seg_chain, seg_split_stats,
     )
 }
