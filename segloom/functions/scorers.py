@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import asyncio
 import importlib.util
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -34,6 +35,25 @@ def batch_scorer(name: str):
     return add
 
 
+def async_scorer(name: str, at_once: int = 64):
+    """Registers ``async f(*values) -> number``, a row a call; up to ``at_once`` calls of a batch wait at the same time."""
+
+    def add(f):
+        async def gathered(rows):
+            gate = asyncio.Semaphore(at_once)
+
+            async def one(row):
+                async with gate:
+                    return await f(*row)
+
+            return await asyncio.gather(*map(one, rows))  # in the order of the rows, whichever ends first
+
+        BATCH_SCORERS[name] = lambda *lists: asyncio.run(gathered(list(zip(*lists))))
+        return f
+
+    return add
+
+
 def score(df: DataFrame, name: str, columns: list[str], out: str = "score") -> DataFrame:
     """``df`` with the scorer's column; an unknown name is an error, a scorer that returns another length, too."""
     if name in COLUMN_SCORERS:

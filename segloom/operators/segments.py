@@ -196,15 +196,32 @@ def matched(eligible: DataFrame) -> DataFrame:
     nodes = eligible.select("entity", "i", "j", F.xxhash64("entity", F.lit("i"), "i").alias("a"), F.xxhash64("entity", F.lit("j"), "j").alias("b"))
     part = components(nodes.select("a", "b")).withColumnRenamed("id", "a")
     rows = nodes.join(part, "a").select("entity", "component", "i", "j")
-    return rows.groupBy("entity", "component").applyInPandas(_kuhn, "entity string, pairs long").groupBy("entity").agg(F.sum("pairs").alias("pairs"))
-
-
-def _kuhn(frame):
-    import pandas as pd
-
-    near: dict[int, list[int]] = {}
-    for i, j in zip(frame["i"], frame["j"]):
-        near.setdefault(int(i), []).append(int(j))
+    sorted_ = rows.repartition("component").sortWithinPartitions("component", "i", "j")
+    return sorted_.mapInArrow(_sizes, "entity string, pairs long").groupBy("entity").agg(F.sum("pairs").alias("pairs"))
+
+
+def _sizes(batches):
+    """The size of each component's matching; a task takes its components one after the other."""
+    import pyarrow as pa
+
+    at, entity, near, out = None, None, {}, []
+    for batch in batches:
+        for c, e, i, j in zip(*(batch.column(n).to_pylist() for n in ("component", "entity", "i", "j"))):
+            if c != at:
+                if near:
+                    out.append((entity, _kuhn(near)))
+                at, entity, near = c, e, {}
+            near.setdefault(i, []).append(j)
+        if len(out) > 10_000:
+            yield pa.record_batch([pa.array(x) for x in zip(*out)], ["entity", "pairs"])
+            out = []
+    if near:
+        out.append((entity, _kuhn(near)))
+    if out:
+        yield pa.record_batch([pa.array(x) for x in zip(*out)], ["entity", "pairs"])
+
+
+def _kuhn(near: dict[int, list[int]]) -> int:
     taken: dict[int, int] = {}
 
     def place(i: int, seen: set) -> bool:
@@ -230,5 +247,4 @@ def _kuhn(frame):
                     path.pop()
         return False
 
-    n = sum(place(i, set()) for i in sorted(near))
-    return pd.DataFrame({"entity": [frame["entity"].iloc[0]], "pairs": [n]})
+    return sum(place(i, set()) for i in sorted(near))

@@ -116,14 +116,6 @@ def flt_strict_rows(spark: SparkSession, folder: str) -> DataFrame:
     return good.filter("rn < 300").select("row_id", (F.col("place") - F.col("rn")).alias("skipped"))
 
 
-def flt_evidence(spark: SparkSession, folder: str) -> DataFrame:
-    """Clips of the manifest against the documents about them: accepted with a text of 200 characters or more, else the reason."""
-    d = table(spark, folder, "documents").filter("video_id is not null").groupBy("video_id").agg(F.max("n_chars").alias("longest"))
-    m = table(spark, folder, "manifest").dropDuplicates(["row_id"]).select("row_id", "video_id", F.coalesce("split_name", F.lit("none")).alias("split"))
-    why = F.when(F.col("longest").isNull(), "missing").when(F.col("longest") < 200, "too_short").otherwise("accepted")
-    return m.join(d, "video_id", "left").groupBy("split", why.alias("status")).agg(F.count("*").alias("n"))
-
-
 def flt_frame_graph(spark: SparkSession, folder: str) -> DataFrame:
     """Orders as frames: at most six objects, at most three attributes each, ids of one letter and up to three digits, one kind a pair."""
     li = table(spark, folder, "lineitem")
@@ -133,13 +125,6 @@ def flt_frame_graph(spark: SparkSession, folder: str) -> DataFrame:
     ).groupBy("too_many_objects", "too_many_attributes", "bad_id").agg(F.count("*").alias("n"))
 
 
-def flt_one_to_one(spark: SparkSession, folder: str) -> DataFrame:
-    """Suppliers and parts matched by large lines: pairs that are one to one, and those that aren't on a side."""
-    p = table(spark, folder, "lineitem").filter("l_quantity >= 49").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")).distinct()
-    na, nb = p.groupBy("a").agg(F.count("*").alias("na")), p.groupBy("b").agg(F.count("*").alias("nb"))
-    return p.join(na, "a").join(nb, "b").groupBy((F.col("na") == 1).alias("left"), (F.col("nb") == 1).alias("right")).agg(F.count("*").alias("n"))
-
-
 def prj_parts(spark: SparkSession, folder: str) -> DataFrame:
     """Contents as parts of text and media: the text with placeholders, and the number of media."""
     from segloom.operators.chat import messages
@@ -206,13 +191,9 @@ select vec_id, round(sum(0.25 * p * ln(p / (0.25 * p + 0.75 * q)) + 0.75 * q * l
 g as (select l_orderkey, sum(case when p = y then 1 else 0 end) as h, count(*) as n from r where y is not null and l_linenumber % 4 <> 0 group by 1) select round(sum(h) / sum(n), 6) as token, round(avg(case when h = n then 1.0 else 0.0 end), 6) as sequence from g""",
     "flt_strict_rows": """with t as (select distinct row_id, list_filter(conversations, lambda t: t."from" = 'gpt') as g from train), a as (select row_id, coalesce(length(g[-1].value) > 80, false) as good from t),
 p as (select *, row_number() over (order by row_id) - 1 as place from a), q as (select row_id, place, row_number() over (order by row_id) - 1 as rn from p where good) select row_id, place - rn as skipped from q where rn < 300""",
-    "flt_evidence": """with d as (select video_id, max(n_chars) as longest from documents where video_id is not null group by 1), m as (select distinct row_id, video_id, coalesce(split_name, 'none') as split from manifest)
-select split, case when longest is null then 'missing' when longest < 200 then 'too_short' else 'accepted' end as status, count(*) as n from m left join d using (video_id) group by 1, 2""",
     "flt_frame_graph": """with o as (select l_orderkey, l_suppkey, count(*) as a from lineitem group by 1, 2),
 f as (select l_orderkey, count(*) > 6 as too_many_objects, bool_or(a > 3) as too_many_attributes, bool_or(not regexp_full_match('o' || l_suppkey, 'o[0-9]{1,3}')) as bad_id from o group by 1)
 select too_many_objects, too_many_attributes, bad_id, count(*) as n from f group by 1, 2, 3""",
-    "flt_one_to_one": """with p as (select distinct l_partkey as a, l_suppkey as b from lineitem where l_quantity >= 49), c as (select count(*) over (partition by a) = 1 as x, count(*) over (partition by b) = 1 as y from p)
-select x as "left", y as "right", count(*) as n from c group by 1, 2""",
     "prj_parts": """with t as (select distinct row_id, array_to_string(list_transform(conversations, lambda t: coalesce(t.value, '')), '') as v from train where len(conversations) > 0)
 select row_id, md5(v) as text, cast(len(regexp_extract_all(v, '<video>')) as integer) as videos from t""",
     "prj_prefixes": "select o_orderstatus as chosen, o_orderpriority as rejected, count(*) as n from orders group by 1, 2",
@@ -226,7 +207,7 @@ union all select row_id, turn_no, '', '' from l1 where json_array_length(j) = 0"
 QUERIES = {
     f.__name__: f
     for f in (
-        ref_merge_rescored, ref_until_complete, sta_overlap_scores, sta_unigram_overlap, sta_clusters, sta_divergence, agg_masked_accuracy, pck_bins, flt_strict_rows, flt_evidence,
-        flt_frame_graph, flt_one_to_one, prj_parts, prj_prefixes, prj_listing, num_canonical, num_python_literals,
+        ref_merge_rescored, ref_until_complete, sta_overlap_scores, sta_unigram_overlap, sta_clusters, sta_divergence, agg_masked_accuracy, pck_bins, flt_strict_rows,
+        flt_frame_graph, prj_parts, prj_prefixes, prj_listing, num_canonical, num_python_literals,
     )
 }
