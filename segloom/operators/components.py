@@ -2,31 +2,58 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segloom.session import durable
+from segloom.session import durable, few
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            x, y = find(root.setdefault(a, a)), find(root.setdefault(b, b))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+    if root:
+        yield pa.record_batch([pa.array(list(root), pa.int64()), pa.array([find(x) for x in root], pa.int64())], ["id", "component"])
 
 
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """``id, component`` (the least id of it) of all nodes with an edge. edges: ``a, b``, long; loops and repeats are allowed.
 
     Alternating large-star and small-star rounds (Kiveris et al. 2014): every round hooks nodes to the least neighbour
-    they know, so a path of n nodes takes about log n rounds; each round is two aggregations and is checkpointed.
+    they know, so a path of n nodes takes about log n rounds; each round is two aggregations and is checkpointed. As few
+    edges as are sent to every task elsewhere are joined by one task instead.
     """
     pairs = durable(edges.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     if pairs.isEmpty():
         return pairs.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    if few(pairs):
+        return pairs.repartition(1).mapInArrow(_joined, "id long, component long")
+    mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    before = mark(pairs)
     for _ in range(most_rounds):
-        before = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         pairs = durable(small.select("e.u", "e.v").filter("u <> v").distinct())
-        if pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() == before:
+        after = mark(pairs)
+        if after == before:
             break
+        before = after
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return pairs.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")).unionByName(

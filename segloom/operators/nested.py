@@ -38,9 +38,9 @@ def label(value, dewey=(), path="", steps=()) -> Iterator[tuple[tuple, str, tupl
 
 
 def _flat(value) -> str:
-    """The members of an element that aren't tables themselves, as JSON text."""
+    """The members of an element that aren't tables themselves, as JSON text; lists of plain values stay."""
     if isinstance(value, dict):
-        value = {k: v for k, v in value.items() if not isinstance(v, list)}
+        value = {k: v for k, v in value.items() if not (isinstance(v, list) and any(isinstance(x, (dict, list)) for x in v))}
     return json.dumps(value, ensure_ascii=False)
 
 
@@ -96,6 +96,23 @@ def parent(dewey: str = "dewey", steps: str = "steps") -> Column:
     return F.slice(dewey, F.lit(1), F.when(F.size(steps) > 1, F.element_at(steps, -2)).otherwise(F.lit(0)))
 
 
+def path_table(labelled: DataFrame, path: str, members: list[str] = []) -> DataFrame:  # noqa: B006
+    """The table of one schema path: its keys (``row_id, turn_no, dewey``), the link to the parent, and members as text.
+
+    Any list of objects at any depth has its table so; ``parent_dewey`` is the ``dewey`` of the row it belongs to in the
+    table of the path without its last list, empty for lists of the record itself. A member that isn't there is null.
+    """
+    own = [F.get_json_object("body", f"$['{m}']").alias(m) for m in members]
+    return labelled.filter(F.col("schema_path") == path).select("row_id", "turn_no", "dewey", parent().alias("parent_dewey"), place(F.element_at("steps", -1)).alias("place"), *own, "body")
+
+
+def paths(labelled: DataFrame) -> DataFrame:
+    """``schema_path, parent_path, records, nodes`` of every table that the records hold."""
+    above = F.regexp_replace("schema_path", r"\.?[^\[\]]*\[\]$", "")
+    rows = labelled.withColumn("parent_path", above).groupBy("schema_path", "parent_path")
+    return rows.agg(F.countDistinct("row_id").alias("records"), F.countDistinct("row_id", "turn_no", "dewey").alias("nodes"))
+
+
 def segment_table(labelled: DataFrame) -> DataFrame:
     """Elements of the record's own list: a schema path with one list, whatever objects it is wrapped in.
 

@@ -94,6 +94,11 @@ def p6_pairs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p6_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """Every table of the nested records: its schema path, the one above it, records and rows."""
+    return nested.paths(nested.nodes(nested.turns(table(spark, folder, "train")), bodies=False))
+
+
 _USABLE = """u as (select distinct video_id, try_cast(round(start_time * 1000) as bigint) as s, try_cast(round(end_time * 1000) as bigint) as e
   from segments where video_id is not null and abs(start_time) < 9e14 and abs(end_time) < 9e14
     and try_cast(round(end_time * 1000) as bigint) > try_cast(round(start_time * 1000) as bigint)),
@@ -139,6 +144,14 @@ select distinct row_id, turn_no, segment_no,
   try_cast(coalesce(json_extract_string(o, '$.end_time'), json_extract_string(o, '$.end')) as double) as end_time,
   json_extract_string(o, '$.emotion') as emotion, json_extract_string(o, '$.reason') as reason, json_extract_string(o, '$.event') as event,
   try_cast(json_extract_string(o, '$.selected_pair_index') as integer) as selected_pair_index from e""",
+    "p6_paths": f"""with {VALUE},
+t as (select row_id, turn_no, case when json_type(j) = 'ARRAY' then '[]' when json_extract(j, '$.segments') is not null then 'segments[]' else 'result.segments[]' end as path,
+  case when json_type(j) = 'ARRAY' then j else coalesce(json_extract(j, '$.segments'), json_extract(j, '$.result.segments')) end as l from v3),
+e as (select row_id, turn_no, path, unnest(range(0, cast(json_array_length(l) as bigint))) as n, l from t where json_type(l) = 'ARRAY'),
+c as (select row_id, path, json_extract(l, '$[' || n || '].candidate_pairs') as q from e),
+x as (select row_id, path, unnest(range(0, cast(json_array_length(q) as bigint))) as m from c where json_type(q) = 'ARRAY')
+select path as schema_path, '' as parent_path, count(distinct row_id) as records, count(*) as nodes from e group by path
+union all select path || '.candidate_pairs[]', path, count(distinct row_id), count(*) from x group by path""",
     "p6_pairs": f"""with {VALUE},
 e as (select row_id, turn_no, unnest(range(0, cast(json_array_length(l) as bigint))) as n, l from s where json_type(l) = 'ARRAY'),
 c as (select row_id, turn_no, n as segment_no, json_extract(l, '$[' || n || '].candidate_pairs') as q from e),
@@ -147,4 +160,4 @@ select distinct row_id, turn_no, segment_no, pair_no, json_extract_string(q, '$[
   json_extract_string(q, '$[' || pair_no || '].reason') as reason from x""",
 }
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_coverage, p6_found, p6_records, p6_turns, p6_segments, p6_pairs)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_coverage, p6_found, p6_records, p6_turns, p6_segments, p6_pairs, p6_paths)}

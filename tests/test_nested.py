@@ -52,3 +52,15 @@ def test_lists_of_other_kinds(spark):
 def test_null_and_empty_conversations(spark):
     df = spark.createDataFrame([(1, None), (2, []), (3, [None])], "row_id long, conversations array<struct<from:string,value:string>>")
     assert nested.nodes(nested.turns(df)).count() == 0
+
+
+def test_a_table_for_every_path(spark):
+    deep = {"segments": [{"a": 1, "tags": ["x", "y"], "frames": [{"objects": [{"id": "o1"}, {"id": "o2"}]}, {"objects": []}]}], "notes": [{"by": "me"}]}
+    n = rows(spark, [json.dumps(deep), TEXT]).cache()
+    got = {r.schema_path: (r.parent_path, r.records, r.nodes) for r in nested.paths(n).collect()}
+    assert got["segments[].frames[].objects[]"] == ("segments[].frames[]", 1, 2) and got["notes[]"] == ("", 1, 1) and got["segments[]"] == ("", 2, 3)
+    objects = nested.path_table(n, "segments[].frames[].objects[]", ["id"]).collect()
+    frames = {tuple(r.dewey) for r in nested.path_table(n, "segments[].frames[]").collect()}
+    assert sorted((r.id, r.place) for r in objects) == [("o1", 0), ("o2", 1)] and {tuple(r.parent_dewey) for r in objects} <= frames
+    first = nested.path_table(n, "segments[]").filter("row_id = 0").first()
+    assert json.loads(first.body) == {"a": 1, "tags": ["x", "y"]}
