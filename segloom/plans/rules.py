@@ -156,7 +156,7 @@ select b.vec_id, array_to_string(b.b, '') as bits, cast(len(list_filter(list_zip
 f as (select *, row_number() over w - 1 as frame, lag(h) over w as before from e window w as (partition by label order by vec_id)),
 d as (select label, frame, round(sqrt(greatest(0.0, 1 - list_sum(list_transform(list_zip(before, h), lambda z: sqrt(z[1] * z[2]))) / sqrt(list_sum(before) * list_sum(h)))) * 100, 6) as d from f where before is not null)
 select label, round(frame / 30.0, 3) as cut, d from d where d >= 30""",
-    "txt_spans": """with s as (select doc_id, list_concat([''], regexp_extract_all(text, '(\n- |\n\d+\. |: |\n)', 1)) as k, string_split_regex(text, '\n- |\n\d+\. |: |\n') as c from documents where text is not null),
+    "txt_spans": """with s as (select doc_id, list_concat([''], regexp_extract_all(text, '(\\n- |\\n\\d+\\. |: |\\n)', 1)) as k, string_split_regex(text, '\\n- |\\n\\d+\\. |: |\\n') as c from documents where text is not null),
 p as (select doc_id, unnest(k) as k, length(unnest(c)) as n from s)
 select doc_id, count(*) as parts, cast(sum(n) as bigint) as characters, round(sum(n * case k when '' then 1.0 when chr(10) || '- ' then 0.5 when ': ' then 2.0 when chr(10) then 1.0 else 0.25 end), 6)::double as weighted from p group by 1""",
     "num_arguments": """with o as (select o_orderkey as k, o_orderstatus as s, o_orderpriority as p, o_custkey % 3 as c, o_orderkey % 5 = 0 as few from orders),

@@ -35,15 +35,13 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint: files in the folder that all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that all executors share, below which checkpoints lie.
 
-    The cluster names that folder in ``spark.checkpoint.dir``; only where neither it nor an earlier
-    ``setCheckpointDir`` is present, and all runs on one machine, as in tests, a temporary local folder is set. A cluster
-    that names none is an error: its executors don't share a machine's folder.
+    The cluster names it in ``spark.checkpoint.dir``; only where neither it nor an earlier ``setCheckpointDir`` is
+    present, and all runs on one machine, as in tests, a temporary local folder is set. A cluster that names none is an
+    error: its executors don't share a machine's folder.
     """
-    spark = df.sparkSession
-    ship(spark)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
@@ -52,6 +50,13 @@ def durable(df: DataFrame) -> DataFrame:
                 raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="segloom-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint: files in the ``shared_folder``."""
+    ship(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
