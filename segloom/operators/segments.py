@@ -169,20 +169,19 @@ def overlapping(a: DataFrame, b: DataFrame, width: int) -> DataFrame:
 
 
 def best_match(a: DataFrame, b: DataFrame, width: int, by: str = "iou") -> DataFrame:
-    """``entity, i, j, iou, common`` of each row of a: the row of b with the highest IoU (or common length), the first on a tie.
+    """Each row of a with its match: the row of b with the highest IoU (or common length), the first on a tie.
 
-    Without any overlap it is the entity's first row of b; entities without rows of b give a null match.
+    Without any overlap it is the entity's first row of b; entities without rows of b give a null match. The result has
+    the columns of a, those of the match, and ``iou, common``; further columns come along, so nothing has to be joined back.
     """
     met = overlapping(a, b, width)
     met = met.withColumn("iou", iv.iou(F.col("s"), F.col("e"), F.col("s2"), F.col("e2"))).withColumn("common", iv.overlap(F.col("s"), F.col("e"), F.col("s2"), F.col("e2")))
-    best = met.groupBy("entity", "i").agg(F.min(F.struct((-F.col(by)).alias("k"), F.col("j"), F.col("iou"), F.col("common"))).alias("m"))
-    first = b.groupBy("entity").agg(F.min("j").alias("first_j"))
-    return (
-        a.select("entity", "i")
-        .join(best, ["entity", "i"], "left")
-        .join(first, "entity", "left")
-        .select("entity", "i", F.coalesce("m.j", "first_j").alias("j"), F.coalesce("m.iou", F.lit(0.0)).alias("iou"), F.coalesce("m.common", F.lit(0)).alias("common"))
-    )
+    own = ["j", *(c for c in b.columns if c not in ("entity", "j"))]
+    best = met.groupBy("entity", "i").agg(F.min(F.struct((-F.col(by)).alias("k"), *own, "iou", "common")).alias("m"))
+    first = b.groupBy("entity").agg(F.min(F.struct(*own)).alias("f"))
+    rows = a.join(best, ["entity", "i"], "left").join(first, "entity", "left")
+    match = [F.when(F.col("m").isNotNull(), F.col(f"m.{c}")).otherwise(F.col(f"f.{c}")).alias(c) for c in own]
+    return rows.select(*a.columns, *match, F.coalesce("m.iou", F.lit(0.0)).alias("iou"), F.coalesce("m.common", F.lit(0)).alias("common"))
 
 
 def matched(eligible: DataFrame) -> DataFrame:

@@ -124,14 +124,12 @@ def rotated(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def early_stop(spark: SparkSession, folder: str) -> DataFrame:
-    """Per user, events since the best value so far."""
+    """Per user, events since the best value so far: the best grows only, so its first event is the least place that has it."""
     keys = ["us", "event_id"]
     rows = table(spark, folder, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "value", F.lit(1).alias("one"))
-    rows = scan(rows, "user_id", keys, sums=["one"], tops=["value"])
-    rows = scan(rows.select("user_id", *keys, F.col("run_one").alias("n"), F.col("top_value").alias("best")), "user_id", keys, lags=["best"])
-    better = F.col("best").isNotNull() & (F.col("prev_best").isNull() | (F.col("best") > F.col("prev_best")))
-    rows = scan(rows.select("user_id", *keys, "n", F.when(better, F.col("n")).alias("mark")), "user_id", keys, tops=["mark"])
-    return rows.select("user_id", "event_id", (F.col("n") - F.col("top_mark")).cast("long").alias("since_best"))
+    rows = scan(rows, "user_id", keys, sums=["one"], tops=["value"]).select("user_id", "event_id", F.col("run_one").alias("n"), F.col("top_value").alias("best"))
+    since = rows.filter("best is not null").groupBy("user_id", "best").agg(F.min("n").alias("mark"))
+    return rows.join(since, ["user_id", "best"], "left").select("user_id", "event_id", (F.col("n") - F.col("mark")).cast("long").alias("since_best"))
 
 
 def _embedded(spark: SparkSession, folder: str) -> DataFrame:

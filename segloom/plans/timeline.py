@@ -105,9 +105,9 @@ def seg_eval_overall(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _best(spark: SparkSession, folder: str, by: str) -> DataFrame:
-    p = pred(spark, folder).select("entity", F.col("idx").alias("i"), "s", "e")
-    g = gt(spark, folder).select("entity", F.col("idx").alias("j"), F.col("s").alias("s2"), F.col("e").alias("e2"))
-    return sg.best_match(p, g, BUCKET, by)
+    p = pred(spark, folder).select("entity", F.col("idx").alias("i"), "s", "e", F.col("label").alias("pl"))
+    g = gt(spark, folder).select("entity", F.col("idx").alias("j"), F.col("s").alias("s2"), F.col("e").alias("e2"), F.col("label").alias("gl"))
+    return sg.best_match(p, g, BUCKET, by).filter("j is not null")
 
 
 _MET = PRED + """,
@@ -119,20 +119,14 @@ met as (select p.entity, p.idx as i, g.idx as j, p.label as pl, g.label as gl, p
 
 def seg_best_match_iou(spark: SparkSession, folder: str) -> DataFrame:
     """Each predicted segment's best true segment by IoU, with the boundary kernel; mean score per clip."""
-    m = _best(spark, folder, "iou")
-    p = pred(spark, folder).select("entity", F.col("idx").alias("i"), "s", "e")
-    g = gt(spark, folder).select("entity", F.col("idx").alias("j"), F.col("s").alias("s2"), F.col("e").alias("e2"))
     near = F.exp(-(F.abs(F.col("s") - F.col("s2")) + F.abs(F.col("e") - F.col("e2"))) / 1000.0 / 0.5)
-    return m.join(p, ["entity", "i"]).join(g, ["entity", "j"]).groupBy("entity").agg(F.count("*").alias("n"), six(F.avg(F.col("iou") * 0.5 + near * 0.5)).alias("score"))
+    return _best(spark, folder, "iou").groupBy("entity").agg(F.count("*").alias("n"), six(F.avg(F.col("iou") * 0.5 + near * 0.5)).alias("score"))
 
 
 def seg_best_match_label(spark: SparkSession, folder: str) -> DataFrame:
     """Share of predicted segments whose match by common length has its label and an IoU above one half."""
-    m = _best(spark, folder, "common")
-    p = pred(spark, folder).select("entity", F.col("idx").alias("i"), F.col("label").alias("pl"))
-    g = gt(spark, folder).select("entity", F.col("idx").alias("j"), F.col("label").alias("gl"))
     hit = F.coalesce((F.col("pl") == F.col("gl")) & (F.col("iou") > 0.5), F.lit(False))
-    return m.join(p, ["entity", "i"]).join(g, ["entity", "j"]).groupBy("entity").agg(F.count("*").alias("n"), six(F.avg(hit.cast("double"))).alias("score"))
+    return _best(spark, folder, "common").groupBy("entity").agg(F.count("*").alias("n"), six(F.avg(hit.cast("double"))).alias("score"))
 
 
 _BEST = """,
