@@ -1,8 +1,12 @@
-"""Text sizes in tokens of a public tokenizer whose rank file is named by a path."""
+"""Text sizes in tokens of a public tokenizer whose rank file is named by a path.
+
+The driver gives the file to the application, so executors need no copy of their own.
+"""
 
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,7 +24,12 @@ def encoding(path: str):
     if path not in _LOADED:
         import tiktoken
 
-        with open(path, "rb") as f:
+        local = path
+        if not os.path.exists(path):
+            from pyspark import SparkFiles
+
+            local = SparkFiles.get(os.path.basename(path))
+        with open(local, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         _LOADED[path] = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _LOADED[path]
@@ -43,6 +52,9 @@ def _sizes(path: str):
 
 def sizes(documents: DataFrame, path: str, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """``doc_id, source, tokens``, once per id; whole texts count, null texts and ids are left out, an empty text has 0."""
+    spark = documents.sparkSession
+    if os.path.exists(path) and not spark.sparkContext.master.startswith("local"):
+        spark.sparkContext.addFile(path)
     return (
         documents.filter(F.col(text).isNotNull() & F.col(key).isNotNull())
         .select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"))
