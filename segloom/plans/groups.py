@@ -177,6 +177,20 @@ def pair_losses(spark: SparkSession, folder: str) -> DataFrame:
     return _embedded(spark, folder).agg(six(F.avg(F.pow(F.col("cosine") - F.col("same"), 2))).alias("cosine_mse"), six(F.avg(loss)).alias("contrastive"))
 
 
+def pair_hard_losses(spark: SparkSession, folder: str) -> DataFrame:
+    """Contrastive loss of the hard pairs: equal ones farther apart than the nearest unequal pair, unequal ones nearer than the farthest equal pair."""
+    rows = _embedded(spark, folder).select("same", F.round(1 - F.col("cosine"), 9).alias("d"))
+    equal = lambda f, n: f(F.when(F.col("same") == n, F.col("d")))
+    edge = rows.agg(equal(F.max, 1).alias("far"), equal(F.avg, 1).alias("mean_equal"), equal(F.min, 0).alias("near"), equal(F.avg, 0).alias("mean_other"))
+    far, near = F.coalesce("far", "mean_other"), F.coalesce("near", "mean_equal")
+    rows = rows.join(F.broadcast(edge))  # one row
+    pos, neg = (F.col("same") == 1) & (F.col("d") > near), (F.col("same") == 0) & (F.col("d") < far)
+    return rows.agg(
+        F.count_if(pos).alias("equal"), F.count_if(neg).alias("other"),
+        six(F.coalesce(F.sum(F.when(pos, F.col("d") * F.col("d"))), F.lit(0.0)) + F.coalesce(F.sum(F.when(neg, F.pow(F.greatest(F.lit(0.0), 0.5 - F.col("d")), 2))), F.lit(0.0))).alias("loss"),
+    )
+
+
 def batch_margin(spark: SparkSession, folder: str) -> DataFrame:
     """Batches of eight pairs: similarity of the own partner less that of the nearest other one, and the in-batch loss."""
     e = table(spark, folder, "embeddings").select((F.floor(F.col("vec_id") / 16)).alias("batch"), F.floor(F.col("vec_id") / 2).alias("pair"), (F.col("vec_id") % 2).alias("odd"), "embedding")
@@ -260,6 +274,18 @@ def importance(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def perplexities(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as sequences of log probabilities of two policies: mean perplexities, difference and ratio of the logs, KL and its k3 form, chi square a token and a sequence."""
+    clamp = lambda x: F.greatest(F.lit(-20.0), F.least(F.lit(20.0), x))
+    rows = _lines(spark, folder).select("prompt", F.ln(F.col("r1") + 0.05).alias("a"), F.ln(F.col("r2") + 0.05).alias("b")).withColumn("d", clamp(F.col("a") - F.col("b")))
+    by = rows.groupBy("prompt").agg(F.avg("a").alias("a"), F.avg("b").alias("b"), F.avg(-F.col("d")).alias("kl"), F.avg(F.exp("d") - F.col("d") - 1).alias("k3"), F.avg(F.exp(2 * F.col("d"))).alias("chi"), F.avg("d").alias("m"))
+    return by.agg(
+        six(F.avg(F.exp(-F.col("a")))).alias("perplexity"), six(F.avg(F.exp(-F.col("b")))).alias("rollout_perplexity"), six(F.avg(F.col("b") - F.col("a"))).alias("log_difference"),
+        six(F.avg(F.abs(F.col("b") - F.col("a")))).alias("abs_difference"), six(F.max(F.col("b") - F.col("a"))).alias("most"), six(F.min(F.col("b") - F.col("a"))).alias("least"),
+        six(F.avg(F.exp(F.col("b") - F.col("a")))).alias("ratio"), six(F.avg("kl")).alias("kl"), six(F.avg("k3")).alias("k3"), six(F.avg("chi") - 1).alias("chi_token"), six(F.avg(F.exp(2 * F.col("m"))) - 1).alias("chi_sequence"),
+    )
+
+
 def off_policy(spark: SparkSession, folder: str) -> DataFrame:
     """Lines left out where the mean difference of their order is above the limit and their advantage is negative."""
     rows = gr.with_stats(_lines(spark, folder), "prompt", "r").withColumn("a", gr.centred(F.col("r")))
@@ -309,6 +335,14 @@ r as (select *, rank() over (partition by measure order by v) + (count(*) over (
 select measure, round(corr(v, same), 6) as pearson, round(corr(rv, rs), 6) as spearman from r group by measure""",
     "pair_losses": f"""with {_EMBEDDED} select round(avg((cosine - same) ** 2), 6) as cosine_mse,
   round(avg(0.5 * (same * (1 - cosine) ** 2 + (1 - same) * greatest(0.0, 0.5 - (1 - cosine)) ** 2)), 6) as contrastive from z""",
+    "pair_hard_losses": f"""with {_EMBEDDED}, d as (select same, round(1 - cosine, 9) as d from z),
+e as (select coalesce(max(d) filter (same = 1), avg(d) filter (same = 0)) as far, coalesce(min(d) filter (same = 0), avg(d) filter (same = 1)) as near from d)
+select count(*) filter (same = 1 and d > near) as "equal", count(*) filter (same = 0 and d < far) as other,
+  round(coalesce(sum(d * d) filter (same = 1 and d > near), 0.0) + coalesce(sum(greatest(0.0, 0.5 - d) ** 2) filter (same = 0 and d < far), 0.0), 6) as loss from d cross join e""",
+    "perplexities": f"""with {_LINES}, t as (select prompt, ln(r1 + 0.05) as a, ln(r2 + 0.05) as b from x), d as (select *, greatest(-20.0, least(20.0, a - b)) as d from t),
+g as (select prompt, avg(a) as a, avg(b) as b, avg(-d) as kl, avg(exp(d) - d - 1) as k3, avg(exp(2 * d)) as chi, avg(d) as m from d group by prompt)
+select round(avg(exp(-a)), 6) as perplexity, round(avg(exp(-b)), 6) as rollout_perplexity, round(avg(b - a), 6) as log_difference, round(avg(abs(b - a)), 6) as abs_difference, round(max(b - a), 6) as most, round(min(b - a), 6) as least,
+  round(avg(exp(b - a)), 6) as ratio, round(avg(kl), 6) as kl, round(avg(k3), 6) as k3, round(avg(chi) - 1, 6) as chi_token, round(avg(exp(2 * m)) - 1, 6) as chi_sequence from g""",
     "batch_margin": """with e as (select vec_id // 16 as batch, vec_id // 2 as pair, vec_id % 2 as odd, embedding::double[] as v from embeddings),
 c as (select a.pair as i, b.pair as j, list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v) * list_inner_product(b.v, b.v)) as c from e a join e b on a.batch = b.batch and a.odd = 0 and b.odd = 1),
 g as (select i, max(c) filter (i = j) as own, max(c) filter (i <> j) as other, avg(c) filter (i <> j) as others, ln(sum(exp(c))) as "all" from c group by i having max(c) filter (i = j) is not null)
@@ -358,7 +392,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         adv_group, adv_leave_one_out, adv_batch_scaled, adv_whitened, adv_per_reward, adv_per_request, reward_groups, reward_columns, varied_groups, best_of_n, minmax, rotated,
-        early_stop, pair_scores, pair_correlation, pair_losses, batch_margin, ranking, marked_groups, wilson_rates, paired_tests, label_events, smoothing, softmax_entropy,
-        importance, off_policy, chunk_metrics,
+        early_stop, pair_scores, pair_correlation, pair_losses, pair_hard_losses, batch_margin, ranking, marked_groups, wilson_rates, paired_tests, label_events, smoothing, softmax_entropy,
+        importance, perplexities, off_policy, chunk_metrics,
     )
 }

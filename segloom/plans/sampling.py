@@ -65,6 +65,18 @@ def smp_interleave(spark: SparkSession, folder: str) -> DataFrame:
     return both.join(F.broadcast(end)).filter("due <= stop").select("stream", "id", "due")
 
 
+def smp_interleave_all(spark: SparkSession, folder: str) -> DataFrame:
+    """The same two streams until both are used up: the one that ends first is gone through again, in the same order."""
+    a = sm.placed(table(spark, folder, "supplier").select(F.col("s_suppkey").alias("id")).withColumn("h", sm.hashed("id", SEED)), ["h"])
+    b = sm.placed(_customers(spark, folder).select(F.col("c_custkey").alias("id")).withColumn("h", sm.hashed("id", SEED)), ["h"])
+    at = lambda df, share, name: df.select(F.lit(name).alias("stream"), F.lit(share).alias("share"), "id", "rn", "total", F.round(F.col("total") / share, 6).alias("ends"))
+    both = at(a, 0.25, "supplier").unionByName(at(b, 0.75, "customer"))
+    both = both.join(F.broadcast(both.agg(F.max("ends").alias("stop"))))  # one row
+    turns = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("stop") * F.col("share") / F.col("total")).cast("long"))
+    rows = both.withColumn("turn", F.explode(turns)).withColumn("due", F.round((F.col("rn") + F.col("turn") * F.col("total") + 0.5) / F.col("share"), 6))
+    return rows.filter("due <= stop").select("stream", "id", "turn", "due")
+
+
 def smp_blocks(spark: SparkSession, folder: str) -> DataFrame:
     """A shuffle within blocks of a thousand orders."""
     rows = table(spark, folder, "orders").select("o_orderkey").withColumn("block", F.floor(F.col("o_orderkey") / 1000)).withColumn("h", sm.hashed("o_orderkey", SEED))
@@ -176,6 +188,10 @@ ORACLE = {
 u as (select 'supplier' as stream, id, round((rn + 0.5::double) / 0.25::double, 6) as due, round(total / 0.25::double, 6) as ends from a
   union all select 'customer', id, round((rn + 0.5::double) / 0.75::double, 6), round(total / 0.75::double, 6) from b)
 select stream, id, due from u where due <= (select min(ends) from u)""",
+    "smp_interleave_all": f"""with a as (select s_suppkey as id, {_PLACED.format(_H.format('s_suppkey'))} from supplier), b as (select c_custkey as id, {_PLACED.format(_H.format('c_custkey'))} from customer),
+u as (select 'supplier' as stream, 0.25::double as share, id, rn, total from a union all select 'customer', 0.75::double, id, rn, total from b),
+s as (select *, max(round(total / share, 6)) over () as stop from u), t as (select *, unnest(range(0, cast(ceil(stop * share / total) as bigint) + 1)) as turn from s)
+select stream, id, turn, round((rn + turn * total + 0.5::double) / share, 6) as due from t where round((rn + turn * total + 0.5::double) / share, 6) <= stop""",
     "smp_blocks": f"select o_orderkey, cast(o_orderkey // 1000 as bigint) as block, row_number() over (partition by o_orderkey // 1000 order by {_H.format('o_orderkey')}) as k from orders",
     "smp_blind": f"with p as (select s_suppkey, {_PLACED.format(_H.format('s_suppkey'))} from supplier) select s_suppkey, printf('B%03d', rn + 1) as code, rn % 2 as coder from p",
     "smp_negatives": """with d as (select distinct l_orderkey, l_partkey from lineitem), p as (select l_orderkey, list(l_partkey order by l_partkey) as p from d group by 1)
@@ -203,7 +219,7 @@ ORACLE["pck_fit"] = f"with p as ({ORACLE['pck_lengths']}) select source, count(*
 QUERIES = {
     f.__name__: f
     for f in (
-        smp_count, smp_percent, smp_stratified, smp_excluding, smp_hash_split, smp_ratio, smp_interleave, smp_blocks, smp_blind, smp_negatives, smp_first_valid, prt_shards,
+        smp_count, smp_percent, smp_stratified, smp_excluding, smp_hash_split, smp_ratio, smp_interleave, smp_interleave_all, smp_blocks, smp_blind, smp_negatives, smp_first_valid, prt_shards,
         prt_batches, top_emotions, top_sources, srt_natural, pck_lengths, pck_fit, pck_chunks, pck_positions,
     )
 }

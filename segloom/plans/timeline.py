@@ -344,6 +344,26 @@ def seg_modes(spark: SparkSession, folder: str) -> DataFrame:
     return by.groupBy("k").agg(F.min(F.struct((-F.col("c")).alias("c"), "first", "label")).alias("m")).select("k", F.col("m.label").alias("label"), (-F.col("m.c")).alias("n"))
 
 
+def seg_modes_apart(spark: SparkSession, folder: str) -> DataFrame:
+    """As ``seg_modes`` over answers of two segments or more, but no place repeats the label before it: it takes its most frequent other one."""
+    rows = _lists(spark, folder).withColumn("n", F.size("segments")).filter("n > 1")
+    size = rows.groupBy("n").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").limit(1).select("n")
+    each = rows.join(F.broadcast(size), "n").select("row_id", F.posexplode("segments").alias("k", "x")).filter("x.emotion is not null")
+    by = each.groupBy("k", F.col("x.emotion").alias("label")).agg(F.count("*").alias("c"), F.min("row_id").alias("first"))
+    # A place can only lose the label before it, so its two best ones do: a row a place.
+    order = Window.partitionBy("k").orderBy(F.desc("c"), "first", "label")
+    two = by.withColumn("z", F.row_number().over(order)).filter("z <= 2").groupBy("k").agg(F.array_sort(F.collect_list(F.struct("z", "label"))).alias("best"))
+    places = two.agg(F.array_sort(F.collect_list(F.struct("k", F.transform("best", lambda b: b["label"]).alias("labels")))).alias("places"))
+    start = F.array().cast("array<string>")
+
+    def step(done, place):
+        last = F.try_element_at(done, F.lit(-1))
+        free = F.filter(place["labels"], lambda x: ~x.eqNullSafe(last))
+        return F.concat(done, F.array(F.get(free, 0)))
+
+    return places.select(F.posexplode(F.aggregate("places", start, step)).alias("k", "label"))
+
+
 def seg_chain(spark: SparkSession, folder: str) -> DataFrame:
     """Each segment and the one before it in its clip, as an edge."""
     rows = scan(seg(spark, folder).select("entity", "s", "id"), "entity", ["s", "id"], lags=["id"])
@@ -478,6 +498,12 @@ m as (select n from n group by n order by count(*) desc, n limit 1),
 c as (select k, label, count(*) as c, min(row_id) as f from l join n using (row_id, turn_no) where n in (select n from m) group by k, label),
 r as (select *, row_number() over (partition by k order by c desc, f, label nulls first) as z from c)
 select cast(k as integer) as k, label, c as n from r where z = 1""",
+    "seg_modes_apart": f"""with recursive {_LISTS}, n as (select row_id, turn_no, count(*) as n from l group by all having count(*) > 1), m as (select n from n group by n order by count(*) desc, n limit 1),
+c as (select k, label, count(*) as c, min(row_id) as f from l join n using (row_id, turn_no) where n in (select n from m) and label is not null group by k, label),
+r as (select *, row_number() over (partition by k order by c desc, f, label) as z from c),
+w as (select k, label from r where k = 0 and z = 1 union all
+  select b.k, case when b.label <> w.label then b.label else d.label end from w join r b on b.k = w.k + 1 and b.z = 1 left join r d on d.k = w.k + 1 and d.z = 2)
+select cast(k as integer) as k, label from w""",
     "seg_chain": f"""with {SEG}, x as (select id as b, lag(id) over (partition by entity order by s, id) as a from seg) select a, 'before' as relation, b from x where a is not null""",
     "seg_split_stats": f"""with {SEG}, m as (select distinct row_id, video_id as entity, coalesce(split_name, 'none') as split, case when video_duration > 0 then video_duration end as d from manifest),
 s as (select entity, count(*) as n, sum(e - s) as ms from seg group by entity)
@@ -489,6 +515,6 @@ QUERIES = {
     for f in (
         seg_islands, seg_positional_eval, seg_eval_per_clip, seg_eval_overall, seg_best_match_iou, seg_best_match_label, seg_snap, seg_transitions, seg_dwell, seg_confusion,
         seg_under_over, seg_sufficient_stats, seg_evaluator, seg_matched_f1, seg_flags, seg_tiling, seg_merge_equal, seg_close_gaps, seg_repair_labels, seg_first_fault, seg_iou_scalars,
-        seg_frames, seg_subshots, seg_scene_cuts, seg_equal_bins, seg_modes, seg_chain, seg_split_stats,
+        seg_frames, seg_subshots, seg_scene_cuts, seg_equal_bins, seg_modes, seg_modes_apart, seg_chain, seg_split_stats,
     )
 }
