@@ -244,7 +244,7 @@ def _lists(spark: SparkSession, folder: str) -> DataFrame:
     found = F.when(F.startswith("v", F.lit("[")), F.from_json("v", _ITEM)).otherwise(F.coalesce(wrapped["segments"], wrapped["result"]["segments"]))
     number = lambda x, c, other: F.coalesce(x[c], x[other]).try_cast("double").alias(c)  # noqa: E731  (times may be quoted)
     typed = lambda x: F.struct(number(x, "start_time", "start"), number(x, "end_time", "end"), x["emotion"].alias("emotion"), x["reason"].alias("reason"))
-    parsed = rows.select("row_id", F.col("turn_no").cast("long").alias("turn_no"), "duration", F.transform(found, typed).alias("segments"))
+    parsed = rows.select("row_id", F.col("turn_no").cast("long").alias("turn_no"), "duration", F.transform(found, typed).alias("segments"), F.array_join(F.array_sort(F.json_object_keys("v")), ",").alias("keys"))
     return parsed.filter("segments is not null").dropDuplicates(["row_id", "turn_no"])
 
 
@@ -288,6 +288,26 @@ def seg_first_fault(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("training", "prediction", "reward").agg(F.count("*").alias("n"))
 
 
+def seg_strict(spark: SparkSession, folder: str) -> DataFrame:
+    """Answers as strict predictions: an object with ``segments`` and nothing else, whose list breaks no rule; else no prediction."""
+    only = F.coalesce(F.col("keys") == "segments", F.lit(False))
+    fault = F.coalesce(sg.first_fault(F.col("segments"), F.col("duration"), VOCABULARY, 0.051, True), F.lit("valid"))
+    rows = _lists(spark, folder).select(only.alias("only_segments"), fault.alias("fault"))
+    return rows.groupBy("only_segments", "fault").agg(F.count("*").alias("n")).withColumn("accepted", F.col("only_segments") & (F.col("fault") == "valid"))
+
+
+def seg_aligned(spark: SparkSession, folder: str) -> DataFrame:
+    """Segments rebuilt between moved boundaries, each with the log of its left one: the clip's start, a cut, or where it was."""
+    moved = durable(seg_snap(spark, folder))
+    after = moved.select("entity", (F.col("idx") - 1).alias("idx"), F.col("aligned").alias("next"))
+    own = pred(spark, folder).select("entity", "idx", "e")
+    first = F.col("idx") == 0
+    return moved.join(own, ["entity", "idx"]).join(after, ["entity", "idx"], "left").select(
+        "entity", "idx", F.when(first, F.col("t")).otherwise(F.col("aligned")).alias("s"), F.coalesce("next", "e").alias("e"),
+        F.when(first, "video_start").when(F.col("delta") != 0, "visual_cut").otherwise("event").alias("source"), F.when(first, 0).otherwise(F.col("delta")).alias("delta_to_cut"),
+    )
+
+
 def seg_iou_scalars(spark: SparkSession, folder: str) -> DataFrame:
     """IoU and common length of neighbours of one clip."""
     rows = scan(seg(spark, folder).select("entity", "s", "id", "e"), "entity", ["s", "id"], lags=["s", "e"]).filter("prev_s is not null")
@@ -410,6 +430,19 @@ select entity, count(*) as n, round(avg(case when pl = gl and iou > 0.5 then 1.0
 n as (select p.entity, p.idx, p.s as t, c.c, row_number() over (partition by p.entity, p.idx order by abs(c.c - p.s), c.c) as k
   from pred p left join c on c.entity = p.entity and abs(c.c - p.s) <= 500)
 select entity, idx, t, coalesce(c, t) as aligned, coalesce(c - t, 0) as delta from n where k = 1""",
+    "seg_aligned": f"""with {PRED}, c as (select distinct entity, s as c from gt),
+n as (select p.entity, p.idx, p.s as t, p.e, c.c, row_number() over (partition by p.entity, p.idx order by abs(c.c - p.s), c.c) as k from pred p left join c on c.entity = p.entity and abs(c.c - p.s) <= 500),
+m as (select entity, idx, t, e, coalesce(c, t) as aligned, coalesce(c - t, 0) as delta from n where k = 1)
+select entity, idx, case when idx = 0 then t else aligned end as s, coalesce(lead(aligned) over (partition by entity order by idx), e) as e,
+  case when idx = 0 then 'video_start' when delta <> 0 then 'visual_cut' else 'event' end as source, case when idx = 0 then 0 else delta end as delta_to_cut from m""",
+    "seg_strict": f"""with {_LISTS}, o as (select row_id, turn_no, coalesce(case when json_type(j) = 'OBJECT' then array_to_string(list_sort(json_keys(j)), ',') end = 'segments', false) as only_segments from v3),
+x as (select *, lag(e) over w as pe, lag(label) over w as pl, lag(k) over w as pk, lead(k) over w as nk from l window w as (partition by row_id, turn_no order by k)),
+b as (select row_id, turn_no, case when bool_or(coalesce(not (e > s), true)) then 'order' when bool_or(coalesce(abs(s - pe) > 0.051, pk is not null)) then 'continuity'
+    when bool_or(label is null or label not in ({", ".join(f"'{v}'" for v in VOCABULARY)})) then 'label' when bool_or(trim(coalesce(reason, '')) = '') then 'reason'
+    when bool_or(coalesce(label = pl, pk is not null)) then 'repeated' when bool_or(not (abs(s - round(s, 1)) < 1e-6 and abs(e - round(e, 1)) < 1e-6)) then 'decimals'
+    when bool_or((pk is null and abs(s) > 0.051) or (nk is null and abs(e - duration) > 0.051)) then 'coverage' else 'valid' end as fault from x group by row_id, turn_no
+  union all select row_id, turn_no, 'empty' from l1 where json_array_length(j) = 0)
+select only_segments, fault, count(*) as n, only_segments and fault = 'valid' as accepted from b join o using (row_id, turn_no) group by 1, 2""",
     "seg_transitions": f"""with {SEG}, o as (select label as b, lag(label) over (partition by entity order by s, id) as a from seg where label is not null),
 n as (select a, b, count(*) as n from o where a is not null group by a, b)
 select a, b, n, round(n / sum(n) over (partition by a), 6) as p from n""",
@@ -514,7 +547,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         seg_islands, seg_positional_eval, seg_eval_per_clip, seg_eval_overall, seg_best_match_iou, seg_best_match_label, seg_snap, seg_transitions, seg_dwell, seg_confusion,
-        seg_under_over, seg_sufficient_stats, seg_evaluator, seg_matched_f1, seg_flags, seg_tiling, seg_merge_equal, seg_close_gaps, seg_repair_labels, seg_first_fault, seg_iou_scalars,
+        seg_under_over, seg_sufficient_stats, seg_evaluator, seg_matched_f1, seg_flags, seg_tiling, seg_merge_equal, seg_close_gaps, seg_repair_labels, seg_first_fault, seg_strict, seg_aligned, seg_iou_scalars,
         seg_frames, seg_subshots, seg_scene_cuts, seg_equal_bins, seg_modes, seg_modes_apart, seg_chain, seg_split_stats,
     )
 }
