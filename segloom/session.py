@@ -71,14 +71,23 @@ def few(keys: DataFrame) -> bool:
     return keys.count() <= int(keys.sparkSession.conf.get("spark.segloom.mostSent", str(MOST_SENT)))
 
 
-def narrowed(df: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
-    """The rows of ``df`` with one of the keys (``left_anti``: with none). keys: one column, counted first, so it should be ``durable``."""
-    if few(keys):
-        return df.join(F.broadcast(keys), on, how)
-    salted = keys.select(on, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+def joined(df: DataFrame, keyed: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """``df`` joined with rows that are few for each key, whatever the share of a key in ``df``.
+
+    They are sent to every task if they are few in all, else copied for SALTS parts of each key, so a hot key of ``df`` is
+    spread over as many tasks. They are counted first, so ``keyed`` should be ``durable``.
+    """
+    if few(keyed):
+        return df.join(F.broadcast(keyed), on, how)
+    salted = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return df.withColumn("_salt", (F.monotonically_increasing_id() % SALTS).cast("int")).join(salted, [on, "_salt"], how).drop("_salt")
 
 
+def narrowed(df: DataFrame, keys: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
+    """The rows of ``df`` with one of the keys (``left_anti``: with none). keys: one column, as for ``joined``."""
+    return joined(df, keys.select(on), on, how)
+
+
 def ship(spark: SparkSession) -> None:
     """Give the package to the Python workers of this application, wherever they run; once per context."""
     context = spark.sparkContext
