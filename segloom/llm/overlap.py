@@ -25,7 +25,7 @@ from segloom.functions.embedded_json import find_value
 from segloom.functions.spelling import fold
 from segloom.llm.segment_join import segment_join
 from segloom.operators.components import components
-from segloom.session import durable, narrowed
+from segloom.session import durable, joined, narrowed
 
 # File endings, and words that mark a copy, a re-encoding or a revision.
 ENDINGS = "mp4 m4v avi mov mkv webm wmv flv mpg mpeg ts mts m2ts ogv ogg 3gp 3g2 vob asf f4v rm rmvb mxf gif".split()
@@ -126,7 +126,7 @@ def same_name(training: DataFrame, evaluation: DataFrame, edits: int = SEPARATOR
     same = durable(linked_names(training, evaluation, edits))
     t = training.select(F.col("key").alias("base"), F.col("row_id").alias("train_row_id"))
     e = evaluation.select(F.col("key").alias("query"), F.col("row_id").alias("eval_row_id"))
-    return same.join(t, "base").join(e, "query").select("train_row_id", "eval_row_id").distinct()
+    return joined(t, same, "base").join(e, "query").select("train_row_id", "eval_row_id").distinct()
 
 
 def segment_list(value) -> list | None:
