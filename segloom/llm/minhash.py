@@ -1,13 +1,15 @@
-"""Clusters of near texts by MinHash with verified Jaccard similarity.
-
-A text is the set of its runs of five words (a shorter one the run of all its words). Bands of its MinHash signature
-bring texts together; the members of a band's group are compared with those of the least and the greatest id among them,
-so a group of n costs 2 n comparisons, never all pairs, and is never gathered: its ends come from an aggregation. Members
-that are linked to neither end (a family of half-alike texts shares bands by chance) go on in groups of finer keys: up to
-three times, each time under three keys of three further values of the signature, which half-alike texts rarely share.
-Like the bands this finds a pair with high probability, not surely; the tests measure 0.95 and more of all pairs, in such
-families too. Bands of a single text, nearly all, end at once. Only pairs of the wanted similarity, computed from the sets themselves, are links; clusters are
-the components of the links.
+"""Clusters of near texts by MinHash and a prefix join, with verified Jaccard similarity.
+
+A text is the set of its runs of five words (a shorter one the run of all its words). Only pairs of the wanted similarity,
+computed from the sets themselves, are links; clusters are the components of the links.
+
+Bands of a MinHash signature come first: the members of a band's group are compared with the least and the greatest id
+among them, so a group of n costs 2 n comparisons, and families of near texts become components. That misses pairs. The
+rest is exact: two sets of similarity s share a member among the first n - ceil(s n) + 1 of each, in an order common to
+all (the rarest first), so texts that meet in such a prefix and lie in different components are all compared, unless
+their sizes or places show that they can't be alike. So every two texts of the wanted similarity lie in one cluster.
+Groups of a prefix member are joined in blocks, a hot one by many tasks, and what lies in the largest component of a
+group is compared with the others of it only.
 """
 
 from __future__ import annotations
@@ -24,9 +26,10 @@ from segloom.operators.components import components
 from segloom.session import durable, joined, narrowed
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 10, 4
-#: How often a group is refined, under how many keys each time, of how many further values of the signature.
-TURNS, KEYS, VALUES = 3, 3, 3
-FINER = TURNS * KEYS * VALUES
+#: Members of a block in the join of a group with itself.
+BLOCK = 1000
+#: Slack of bounds that are computed with the similarity; it only lets more pairs through to the exact test.
+SLACK = 1e-6
 
 
 def _mixed(x: np.ndarray, salt: np.uint64) -> np.ndarray:
@@ -49,7 +52,7 @@ def shingles(text: str, words: int = WORDS) -> list[int]:
 def _bands(bands: int, rows: int, words: int, seed: int = 20250301):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(seed)
-        salts = rng.integers(1, 1 << 63, bands * rows + FINER, dtype=np.uint64)
+        salts = rng.integers(1, 1 << 63, bands * rows, dtype=np.uint64)
         for batch in batches:
             sets = [shingles(t, words) for t in batch.column(1).to_pylist()]
             sizes = np.array([len(s) for s in sets])
@@ -62,43 +65,64 @@ def _bands(bands: int, rows: int, words: int, seed: int = 20250301):
             keys = np.zeros((len(keep), bands), np.uint64)
             with np.errstate(over="ignore"):
                 for r in range(rows):
-                    keys = keys * np.uint64(0x9E3779B97F4A7C15) + least[:, r : bands * rows : rows]
+                    keys = keys * np.uint64(0x9E3779B97F4A7C15) + least[:, r::rows]
                 keys ^= np.arange(bands, dtype=np.uint64) << np.uint64(56)
-            finer = least[:, bands * rows :].view(np.int64)
             yield pa.record_batch(
                 [
                     batch.column(0).take(pa.array(keep)),
                     pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())),
-                    pa.array(list(finer), pa.list_(pa.int64())),
                     pa.array([sets[i] for i in keep], pa.list_(pa.int64())),
                 ],
-                ["id", "bands", "finer", "shingles"],
+                ["id", "bands", "shingles"],
             )
 
     return run
 
 
 def links(texts: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, words: int = WORDS) -> DataFrame:
-    """``a, b`` of verified pairs. texts: ``id, text``, each text once; null and wordless texts have no links."""
-    signed = durable(
-        texts.filter("text is not null").select("id", "text").mapInArrow(_bands(bands, rows, words), "id long, bands array<long>, finer array<long>, shingles array<long>")
-    )
-    rest, found, turn = signed.select("id", F.explode("bands").alias("band")), None, 0
-    while True:
-        ends = durable(rest.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high"))
-        if found is not None and ends.isEmpty():
-            return found
-        met = joined(rest, ends, "band").select("band", "id", F.explode(F.array("low", "high")).alias("end")).filter("id <> end")
-        met = durable(met.select("band", "id", F.least("id", "end").alias("a"), F.greatest("id", "end").alias("b")))
-        linked = durable(_verified(met.select("a", "b").distinct(), signed, similarity))
-        found = linked if found is None else durable(found.unionByName(linked).distinct())
-        if turn == TURNS:
-            return found
-        kin = met.join(linked.withColumn("linked", F.lit(1)), ["a", "b"], "left").groupBy("band", "id").agg(F.max("linked").alias("linked"))
-        left = kin.filter("linked is null").select("band", "id").join(ends, "band").filter("id <> low and id <> high").select("band", "id")
-        at = [turn * KEYS * VALUES + j * VALUES for j in range(KEYS)]
-        finer = [F.xxhash64("band", F.slice("finer", i + 1, VALUES), F.lit(i)) for i in at]
-        rest, turn = durable(left.join(signed.select("id", "finer"), "id").select("id", F.explode(F.array(*finer)).alias("band"))), turn + 1
+    """``a, b`` of verified pairs, by which every two texts of the similarity are joined, directly or over others.
+
+    texts: ``id, text``, each text once; null and wordless texts have no links.
+    """
+    signed = durable(texts.filter("text is not null").select("id", "text").mapInArrow(_bands(bands, rows, words), "id long, bands array<long>, shingles array<long>"))
+    rest = signed.select("id", F.explode("bands").alias("band"))
+    ends = durable(rest.groupBy("band").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high"))
+    met = joined(rest, ends, "band").select("id", F.explode(F.array("low", "high")).alias("end")).filter("id <> end")
+    found = durable(_verified(met.select(F.least("id", "end").alias("a"), F.greatest("id", "end").alias("b")).distinct(), signed, similarity))
+    return durable(found.unionByName(_verified(_across(signed, components(found), similarity), signed, similarity)))
+
+
+def _prefixes(signed: DataFrame, similarity: float) -> DataFrame:
+    """``id, size, token, place`` of what each set has among its first n - ceil(s n) + 1, the rarest first, and shares with others."""
+    each = signed.select("id", F.explode("shingles").alias("token"))
+    often = durable(each.groupBy("token").agg(F.count("*").alias("texts")).filter("texts > 1"))
+    shared = joined(each, often, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("texts", "token"))).alias("shared"))
+    own = F.col("size") - F.size("shared")  # those of no other text come first, and nobody meets by them
+    placed = signed.select("id", F.size("shingles").alias("size")).join(shared, "id").select("id", "size", own.alias("own"), F.posexplode("shared").alias("at", "t"))
+    place = F.col("own") + F.col("at")
+    return placed.select("id", "size", "t.token", place.alias("place")).filter(F.col("place") <= F.col("size") - F.ceil(similarity * F.col("size") - SLACK))
+
+
+def _across(signed: DataFrame, kin: DataFrame, similarity: float) -> DataFrame:
+    """``a, b`` of all pairs in different components (``kin``: ``id, component``) that may have the similarity."""
+    members = _prefixes(signed, similarity).join(kin, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    members = durable(members)
+    main = members.groupBy("token", "component").agg(F.count("*").alias("n")).groupBy("token").agg(F.sum("n").alias("all"), F.max(F.struct("n", "component")).alias("main"))
+    groups = durable(main.select("token", "all", (F.col("all") - F.col("main.n")).alias("others"), F.col("main.component").alias("main")).filter("others > 0"))
+    met = joined(members, groups, "token")
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK)
+    block = lambda c: F.pmod(F.xxhash64("id"), blocks(c))
+    copies = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), blocks(c) - 1))
+    side = lambda df, i, j: df.select("token", "id", "size", "place", "component", "main", i.alias("i"), j.alias("j"))
+    x = side(met.filter("component <> main"), block("others"), copies("all")).alias("x")
+    y = side(met, copies("others"), block("all")).alias("y")
+    once = (F.col("y.component") == F.col("y.main")) | (F.col("x.id") < F.col("y.id"))
+    least, most = F.least("x.size", "y.size"), F.greatest("x.size", "y.size")
+    after = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place"))
+    possible = (least >= similarity * most - SLACK) & (F.least("x.place", "y.place") + after >= similarity / (1 + similarity) * (least + most) - SLACK)
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("token", "i", "j")]
+    pairs = x.join(y, [*same, F.col("x.component") != F.col("y.component"), once, possible])
+    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, signed: DataFrame, similarity: float) -> DataFrame:

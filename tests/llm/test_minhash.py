@@ -1,5 +1,8 @@
 import random
 
+import pytest
+
+from segloom.llm import minhash
 from segloom.llm.minhash import clusters, links, shingles
 
 
@@ -63,3 +66,53 @@ def test_openings_of_twelve_words(spark):
     found = {(r.a, r.b) for r in links(spark.createDataFrame(list(enumerate(texts)), "id long, text string")).collect()}
     true = {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if jaccard(texts[a], texts[b]) >= 0.8}
     assert true and found <= true and len(found) >= 0.95 * len(true)
+
+
+def pairs_at_the_limit():
+    """Texts of 8 runs of words within others of 10: similarity 0.8, no more."""
+    for i in range(990, 1050):
+        words = [f"w{i}v{j}" for j in range(14)]
+        yield " ".join(words[:12])
+        yield " ".join(words)
+
+
+def chains():
+    """Texts of which only neighbours are near, all over one boilerplate: many meet in each group, few are alike."""
+    rng = random.Random(8)
+    common = " ".join(f"c{i}" for i in range(60))
+    for _ in range(60):
+        words = [f"w{rng.randint(0, 99)}" for _ in range(24)]
+        for _ in range(8):
+            yield f"{common} {' '.join(words)}"
+            at = rng.randrange(20)
+            words[at : at + 4] = [f"w{rng.randint(0, 99)}" for _ in range(4)]
+
+
+def slots():
+    """Texts of few phrases in many combinations, whose runs of words are all frequent."""
+    rng = random.Random(9)
+    for _ in range(400):
+        yield " ".join(f"s{i}o{rng.choice([0] * 8 + [1, 2])} a{i} b{i}" for i in range(12))
+
+
+@pytest.mark.parametrize(("make", "block"), [(pairs_at_the_limit, None), (chains, None), (slots, None), (slots, 7)])
+def test_every_pair_is_in_one_cluster(spark, monkeypatch, make, block):
+    """No pair is lost, whatever it meets by; blocks of a hot group and joins by shuffle alone change nothing."""
+    texts = list(dict.fromkeys(make()))
+    random.Random(7).shuffle(texts)
+    if block:
+        monkeypatch.setattr(minhash, "BLOCK", block, raising=False)
+        spark.conf.set("spark.segloom.mostSent", "0")
+    try:
+        found = {(r.a, r.b) for r in links(spark.createDataFrame(list(enumerate(texts)), "id long, text string")).collect()}
+    finally:
+        spark.conf.unset("spark.segloom.mostSent")
+    sets = [set(shingles(t)) for t in texts]
+    near = lambda x, y: len(x & y) >= 0.8 * len(x | y) - 1e-9
+    true = {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if near(sets[a], sets[b])}
+    assert len(true) >= 50 and found <= true
+    group = list(range(len(texts)))
+    for a, b in found:
+        group = [group[a] if g == group[b] else g for g in group]
+    lost = [(a, b) for a, b in true if group[a] != group[b]]
+    assert not lost, (len(lost), len(true))

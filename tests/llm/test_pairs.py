@@ -95,6 +95,18 @@ def test_questions_of_a_cluster(spark):
     assert pairs.broken(frame(spark, [(rows[0][0], a) for a in answers])).count() == 0
 
 
+def test_templates_at_the_limit(spark):
+    """Wordings of one question each that are just near enough to be a template, of many templates: none is missed."""
+    rows = []
+    for i in range(40):
+        words = ["my", *(f"{a}{chr(97 + i % 26)}{chr(97 + i // 26)}a{b}" for a in "klm" for b in "aeiou")]
+        cuts = (" ".join(words[-12:]), " ".join(words[-14:]), " ".join(words))  # 8, 10 and 12 runs of five words
+        rows += [(f"{w} is seen at {n}.0 s, and why?", f"{cut}.") for n, (w, cut) in enumerate(zip(("What", "Who", "Which dog"), cuts))]
+    rows += [(f"Question number {i}?", a) for i, a in enumerate(scenes(100))]
+    got = {r.record_id for r in pairs.broken(frame(spark, rows), patterns=False).filter("defect = 'refusal'").collect()}
+    assert got == set(range(120)), len(got)
+
+
 def test_templates_by_core(spark):
     """The same refusing sentence after unlike leads."""
     odd = "Let us leave your request where it is, my friend of the archive."
